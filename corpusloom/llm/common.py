@@ -106,3 +106,48 @@ def ranked_sources(stats: DataFrame) -> DataFrame:
     The table has a row a source, not a document, so that one ordered task is enough.
     """
     return stats.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+
+
+def range_buckets(df: DataFrame, column: str, buckets: int, out: str) -> DataFrame:
+    """Adds ``out``: the number of a range of ``column`` (long), of about ``buckets`` ranges of like many rows.
+
+    The bounds are approximate quantiles of that column alone (the scan reads no other), ``buckets`` of
+    them at most; a null goes to the first range.  Each row finds its range by binary search in the JVM.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    place = F.coalesce(F.col(column).cast("double"), F.lit(-1e308))
+    found = df.select(F.percentile_approx(place, [i / buckets for i in range(1, buckets)], 100 * buckets)).head()[0] if buckets > 1 else None
+    bounds = sorted({b for b in found or [] if b > -1e308})
+    placed = df.withColumn("_place", place)
+    if not bounds:
+        return placed.withColumn(out, F.lit(0)).drop("_place")
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_place", outputCol="_range")
+    return cut.transform(placed).withColumn(out, F.col("_range").cast("int")).drop("_place", "_range")
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def arrow_schema(schema: str):
+    """The Arrow schema of a DDL string; on the driver only."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def arrow_batches(fn, schema: str):
+    """A mapInArrow function from ``fn(lists) -> lists``: Python lists of the input columns in, of the output's out."""
+    target = arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                out = fn(*[c.to_pylist() for c in b.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, target, strict=True)], schema=target)
+
+    return run
