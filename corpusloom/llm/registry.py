@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, exact_dedup, mixing, secret_ledger, sharding, token_files
+from corpusloom.llm import byte_bpe, exact_dedup, mixing, order_minhash, secret_ledger, sharding, simhash, token_files
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
+        "op3_order_minhash": order_minhash.query,
         "op5_exact_dedup": exact_dedup.query,
         "op6_token_files": token_files.query,
         "op7_byte_bpe": byte_bpe.query,
+        "op8_simhash": simhash.query,
         "op9_secret_ledger": secret_ledger.query,
         "op10_sharding": sharding.query,
     }
