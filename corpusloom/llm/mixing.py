@@ -21,7 +21,8 @@ def source_targets(stats: DataFrame, weights: Sequence[int], share: float, epoch
     The sources, by code point with null last, weigh ``weights`` in turn and share ``share`` times all
     words.  A target stops at ``epochs`` times its source's size; what is over is shared anew by
     weight until none is above.  That fixed point is one level L with target = min(cap, weight * L):
-    in order of cap / weight, L is the first level at which the sources not yet full can hold the rest.
+    in order of cap / weight, L is the first level that the next source can hold, the sources before it being full.
+    Later levels count sources as full that are not, and are lower: L is the highest level that fits.
     """
     ranked = ranked_sources(stats)
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
@@ -34,7 +35,7 @@ def source_targets(stats: DataFrame, weights: Sequence[int], share: float, epoch
     level = (budget - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(from_here)
     fits = F.when(level <= F.col("_cap") / F.col("_weight"), level)
     ranked = ranked.withColumn("_fits", fits)
-    ranked = ranked.withColumn("_level", F.min("_fits").over(everything))
+    ranked = ranked.withColumn("_level", F.max("_fits").over(everything))
     target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_weight") * F.col("_level")))
     return ranked.withColumn("target", F.round(target, 6)).drop("_weight", "_cap", "_fits", "_level")
 
@@ -75,7 +76,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     wanted = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
     wanted = wanted.withColumnRenamed("doc_id", "_mix_id")
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_mix_id"]))
+    # The table of decisions is hashed, so that the texts are dealt but not sorted.
+    joined = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["_mix_id"]))
     joined = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return joined.select(*[joined[c] for c in docs.columns])
 
@@ -98,7 +100,7 @@ levels AS (
     - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
 targets AS (
-  SELECT source, source_size, round(least(cap, w * (SELECT min(level) FROM levels WHERE level <= cap / w)), 6) AS target FROM levels),
+  SELECT source, source_size, round(least(cap, w * (SELECT max(level) FROM levels WHERE level <= cap / w)), 6) AS target FROM levels),
 placed AS (
   SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS whole,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
