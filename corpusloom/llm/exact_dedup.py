@@ -95,12 +95,19 @@ def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
 
 
 def kept_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``; of rows alike in doc_id and text one stays."""
-    spark = docs.sparkSession
-    decided = dedup(docs, index or new_index(spark)).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    mine = docs.withColumn("_own_sha", text_digest(F.col("text")))
-    joined = mine.join(decided, mine["doc_id"].eqNullSafe(decided["_keep"]) & (mine["_own_sha"] == decided["_sha"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_own_sha"]).select(*docs.columns)
+    """The documents that stay, with the columns of ``docs``; of rows alike in doc_id and text one stays.
+
+    Only the doc_ids of rows that go, and of rows that share a doc_id, take part in joins with the texts.
+    """
+    decided = dedup(docs, index or new_index(docs.sparkSession))
+    by_id = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    odd = staged(by_id.filter(~F.col("kept") | (F.col("n") > 1)).withColumnRenamed("doc_id", "_id"), "exact-odd")
+    plain = docs.join(odd.select("_id"), docs["doc_id"].eqNullSafe(odd["_id"]), "left_anti")
+    shared = odd.filter("n > 1 AND kept").select("_id")
+    several = docs.withColumn("_own_sha", text_digest(F.col("text"))).join(shared, docs["doc_id"].eqNullSafe(shared["_id"]), "left_semi")
+    stays = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    several = several.join(stays, several["doc_id"].eqNullSafe(stays["_id"]) & (several["_own_sha"] == stays["_sha"]), "left_semi")
+    return plain.unionByName(several.dropDuplicates(["doc_id", "_own_sha"]).select(*docs.columns))
 
 
 def query(spark, sf_dir):
