@@ -16,6 +16,7 @@ executor or a store without local paths is no concern.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +32,11 @@ BLOCK = 64
 SEGMENT_IDS = 1 << 20
 #: Words whose ids a worker keeps; when full, the store starts anew.
 KEPT_WORDS = 400_000
+#: Words of letters that have one form each in Unicode.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others in turn from U+0100.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 #: Appended to each document.
 END_ID = 1
 
@@ -141,19 +147,25 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.ends = {b: self._ids(bytes([b])) for b in b".,"}
 
-    def _ids(self, word: bytes) -> bytes:
+    def _ids(self, text: bytes) -> bytes:
         import numpy as np
 
-        return np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        stem = word[:-1]
+        known, stem = self.words, word[:-1]
         if word[-1] in self.ends and stem[-1:].isalnum():
-            if stem not in self.words:
-                self.words[stem] = self._ids(stem)
-            return self.words[stem] + self.ends[word[-1]]
+            if stem not in known:
+                known[stem] = self._word(stem)
+            return known[stem] + self.ends[word[-1]]
+        text = word.decode()
+        if LATIN.fullmatch(text):
+            # One piece for the pre-tokenizer, and lowering is all that the normalizer does: on to the merges.
+            piece = text.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+            return struct.pack(f"<{len(t := self.model.tokenize(piece))}I", *[x.id for x in t])
         return self._ids(word)
 
     def encode(self, text: str) -> bytes:
