@@ -28,7 +28,7 @@ QUERIES = {
     "keyword_field_restricted": lambda s, d: kw.search_all(flat(s, d), ["ertion"], 20, fields=("name",)),
     "keyword_typed_filter": lambda s, d: kw.search_all(flat(s, d), TERMS, 20, where=F.lower("kind").isin("fr", "de")),
     "keyword_prefix": lambda s, d: kw.expand_prefix(kw.vocabulary(flat(s, d)), "licens").select("term", "df", F.round("weight", 6).alias("weight")),
-    "keyword_fuzzy_guarded": lambda s, d: kw.expand_fuzzy(kw.vocabulary(flat(s, d)), "lisence").select("term", "df", "distance", F.round("weight", 6).alias("weight")),
+    "keyword_fuzzy_guarded": lambda s, d: kw.expand_fuzzy(kw.vocabulary(flat(s, d)), "licence").select("term", "df", "distance", F.round("weight", 6).alias("weight")),
     "promoted_target": lambda s, d: _promoted(s, d),
     "abbreviation_companion": lambda s, d: kw.expanded_tier(flat(s, d), ["gpl"], {"gpl": ["general", "public", "license"]}, 20),
     "stemmed_search": lambda s, d: _stemmed(s, d),
@@ -37,7 +37,7 @@ QUERIES = {
     "id_prefix_jump": lambda s, d: table(s, d, "pages").withColumn("key", F.md5(F.col("url"))).filter(F.col("key").startswith("a")).orderBy("page_id").limit(1).select("page_id", "url", "key"),
     "document_frequency": lambda s, d: kw.vocabulary(flat(s, d)),
     "title_keyword_counts": lambda s, d: kw.title_keywords(flat(s, d)),
-    "title_cooccurrence": lambda s, d: kw.suggest_titles(flat(s, d), ["apache"], "l"),
+    "title_cooccurrence": lambda s, d: kw.suggest_titles(flat(s, d), ["ertion"], "th"),
     "inherited_keywords": lambda s, d: _inherited(s, d),
     "abbreviation_harvest": lambda s, d: kw.harvested_abbreviations(_with_definitions(s, d)),
     "collision_dropped_aliases": lambda s, d: kw.unambiguous(table(s, d, "part").select(F.split("p_name", " ")[0].alias("alias"), F.col("p_brand").alias("owner")).unionByName(table(s, d, "supplier").select(F.lower("s_name").alias("alias"), F.col("s_name").alias("owner"))), "alias", "owner"),
@@ -134,7 +134,7 @@ FROM tiered, gate WHERE tier = 0 OR n < 50 ORDER BY tier, score DESC, id LIMIT 5
     "keyword_typed_filter": _top(TERMS, 20, "lower(kind) IN ('fr', 'de')"),
     "keyword_prefix": f"""WITH {_VOCAB} SELECT term, df, round(CASE WHEN length(term) = 6 THEN 1.0::DOUBLE ELSE 0.375::DOUBLE * length(term) / (length(term) + 0.3::DOUBLE * (length(term) - 6)) END, 6) AS weight
 FROM vocab WHERE starts_with(term, 'licens')""",
-    "keyword_fuzzy_guarded": f"""WITH {_VOCAB}, near AS (SELECT term, df, CAST(levenshtein(term, 'lisence') AS INTEGER) AS distance FROM vocab WHERE abs(length(term) - 7) <= 1 AND levenshtein(term, 'lisence') <= 1)
+    "keyword_fuzzy_guarded": f"""WITH {_VOCAB}, near AS (SELECT term, df, CAST(levenshtein(term, 'licence') AS INTEGER) AS distance FROM vocab WHERE abs(length(term) - 7) <= 1 AND levenshtein(term, 'licence') <= 1)
 SELECT term, df, distance, round(CASE WHEN distance = 0 THEN 1.0::DOUBLE ELSE 0.45::DOUBLE * length(term) / (length(term) + distance) END, 6) AS weight
 FROM near WHERE distance = 0 OR NOT EXISTS (SELECT 1 FROM near WHERE distance = 0)""",
     "promoted_target": f"""WITH {sq.scored(["license"])}, ranked AS ({_LICENSE} LIMIT 60), target AS (SELECT max(id) AS t FROM ranked)
@@ -148,8 +148,8 @@ AND regexp_matches(text, '(^|[^\p{L}\p{N}_])Version 2($|[^\p{L}\p{N}_])') AND NO
     "id_prefix_jump": "SELECT page_id, url, md5(url) AS key FROM pages WHERE starts_with(md5(url), 'a') ORDER BY page_id LIMIT 1",
     "document_frequency": f"WITH {_VOCAB} SELECT term, df FROM vocab",
     "title_keyword_counts": f"WITH {sq.FLAT} SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t_name)) AS token FROM flat) GROUP BY token",
-    "title_cooccurrence": f"""WITH {sq.FLAT} SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(t_name)) AS token FROM flat WHERE list_contains(t_name, 'apache'))
-WHERE starts_with(token, 'l') AND token <> 'apache' GROUP BY token ORDER BY n DESC, token LIMIT 8""",
+    "title_cooccurrence": f"""WITH {sq.FLAT} SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(t_name)) AS token FROM flat WHERE list_contains(t_name, 'ertion'))
+WHERE starts_with(token, 'th') AND token <> 'ertion' GROUP BY token ORDER BY n DESC, token LIMIT 8""",
     "inherited_keywords": f"""WITH nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
 terms AS (SELECT id, unnest(list_distinct({sq.index_terms("name")})) AS term FROM nodes), df AS (SELECT term FROM terms GROUP BY term HAVING count(*) <= 50),

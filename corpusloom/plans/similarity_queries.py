@@ -95,12 +95,12 @@ def _census(s, d):
 
 
 def _sweep(s, d):
-    links = sim.cosine_links(vectors(s, d), (0.6, 0.7, 0.8))
-    return links.agg(*[F.count_if(F.col("cosine") >= t).alias(f"pairs_{int(t * 100)}") for t in (0.6, 0.7, 0.8)])
+    links = sim.cosine_links(vectors(s, d), (0.4, 0.45, 0.5))
+    return links.agg(*[F.count_if(F.col("cosine") >= t).alias(f"pairs_{round(t * 100)}") for t in (0.4, 0.45, 0.5)])
 
 
 def _cosine_families(s, d):
-    return sim.components(sim.cosine_links(vectors(s, d), (0.7,)).select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("family_id"))
+    return sim.components(sim.cosine_links(vectors(s, d), (0.4,)).select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("family_id"))
 
 
 def _rrf(s, d):
@@ -203,8 +203,8 @@ SELECT definition, count(*) AS families, CAST(sum(size) AS BIGINT) AS documents,
     "near_duplicate_families": f"""WITH RECURSIVE {_SH}, {_REACH}, lab AS (SELECT a AS first, least(a, min(b)) AS label FROM reach GROUP BY a)
 SELECT n.id, coalesce(label, b.first) AS family_id FROM n JOIN b ON md5(n.body) = b.k LEFT JOIN lab ON lab.first = b.first WHERE label IS NOT NULL OR copies > 1""",
     "cosine_pairs_sweep": f"""WITH c AS (SELECT {_COS.format(a="a.embedding", b="b.embedding")} AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
-SELECT count(*) FILTER (c >= 0.6) AS pairs_60, count(*) FILTER (c >= 0.7) AS pairs_70, count(*) FILTER (c >= 0.8) AS pairs_80 FROM c""",
-    "cosine_families": f"WITH RECURSIVE pairs AS ({_CPAIRS} >= 0.7), {_REACH} SELECT a AS id, least(a, min(b)) AS family_id FROM reach GROUP BY a",
+SELECT count(*) FILTER (c >= 0.4) AS pairs_40, count(*) FILTER (c >= 0.45) AS pairs_45, count(*) FILTER (c >= 0.5) AS pairs_50 FROM c""",
+    "cosine_families": f"WITH RECURSIVE pairs AS ({_CPAIRS} >= 0.4), {_REACH} SELECT a AS id, least(a, min(b)) AS family_id FROM reach GROUP BY a",
     "same_key_same_parent": "SELECT c_mktsegment, c_nationkey, count(*) AS size, min(c_custkey) AS first FROM customer GROUP BY 1, 2 HAVING count(*) >= 2",
     "same_key_mixed_parent": "SELECT p_name, count(*) AS size, count(DISTINCT p_brand) AS parents FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1",
     "collapse_families": f"WITH {_DENSE} SELECT id, label, rank FROM ranked QUALIFY row_number() OVER (PARTITION BY label ORDER BY rank) = 1",
