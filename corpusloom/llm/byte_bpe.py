@@ -82,13 +82,15 @@ def encode(docs: DataFrame, ranks: str | None = None, with_ids: bool = True) ->
     path = ranks or default_ranks()
 
     def work(doc_ids, texts):
+        import numpy as np
+
         encoding = load_encoding(path)
         decimal = worker_cache(("byte_bpe_decimal", path), lambda: [str(i) for i in range(encoding.n_vocab)])
         n, kept, ids_sha, bytes_sha = [], [], [], []
         for text in texts:
             ids = encode_text(encoding, text or "")
             n.append(len(ids))
-            kept.append(ids if with_ids else None)
+            kept.append(np.array(ids, np.int32) if with_ids else None)
             ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
             bytes_sha.append(hashlib.sha256(decode_ids(encoding, ids)).hexdigest())
         return doc_ids, n, kept, ids_sha, bytes_sha

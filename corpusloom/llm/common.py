@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows per bucket of a distributed ordering, and the most buckets of one group.
 ROWS_PER_BUCKET = 2048
 MOST_BUCKETS = 1 << 20
+#: Rows that a Python worker holds as Python objects.
+ROWS_AT_ONCE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -139,15 +141,18 @@ def arrow_schema(schema: str):
 
 
 def arrow_batches(fn, schema: str):
-    """A mapInArrow function from ``fn(lists) -> lists``: Python lists of the input columns in, of the output's out."""
+    """A mapInArrow function from ``fn(lists) -> lists``: Python lists of the input columns in, of the output's out.
+
+    A few rows become Python objects at a time, however many a batch holds.
+    """
     target = arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            if b.num_rows:
-                out = fn(*[c.to_pylist() for c in b.columns])
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                out = fn(*[c.to_pylist() for c in b.slice(at, ROWS_AT_ONCE).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, target, strict=True)], schema=target)
 
     return run

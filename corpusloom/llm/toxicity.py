@@ -231,8 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     schema = "toxic int, n long, found array<double>, scores array<double>"
 
+    state: dict = {}  # of one task
+
     def work(texts, toxic):
-        weigh = Weigher(sent.value)
+        weigh = state.setdefault("weigher", Weigher(sent.value))
         out = [[], [], [], []]
         for text, t in zip(texts, toxic, strict=True):
             n, hits = hits_of(text, weigh)
@@ -264,9 +266,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     schema = "doc_id long, score double"
 
+    state: dict = {}  # of one task
+
     def work(doc_ids, texts):
         m = sent.value
-        weigh = Weigher(m.weights)
+        weigh = state.setdefault("weigher", Weigher(m.weights))
         out = []
         for text in texts:
             n, hits = hits_of(text or "", weigh)
@@ -284,9 +288,11 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     schema = "doc_id long, start long, end long, excess double"
 
+    state: dict = {}  # of one task
+
     def work(doc_ids, texts):
         m = sent.value
-        weigh = Weigher(m.weights)
+        weigh = state.setdefault("weigher", Weigher(m.weights))
         out = [[], [], [], []]
         for doc_id, text in zip(doc_ids, texts, strict=True):
             low = (text or "").lower()
@@ -313,9 +319,11 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def text_score(sent):
     """A column function: the probability of a text under a broadcast model."""
+    state: dict = {}  # of one task
+
     def work(texts: pd.Series) -> pd.Series:
         m = sent.value
-        weigh = Weigher(m.weights)
+        weigh = state.setdefault("weigher", Weigher(m.weights))
         out = []
         for text in texts:
             n, hits = hits_of(text, weigh)
