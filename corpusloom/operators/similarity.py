@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.staging import written
 
 RRF_K, DUPLICATE_COSINE, NEAR_JACCARD, LEAST_WORDS, SUBSTANTIAL = 60, 0.98, 0.9, 15, 200
 #: Query vectors that one pass over the table compares with every row: bounds what is broadcast.
@@ -181,7 +181,7 @@ def near_pairs(docs: DataFrame, threshold: float = NEAR_JACCARD) -> DataFrame:
     are alike enough must, and passages that very many documents hold are not among the rarest.
     """
     bodies = distinct_bodies(docs).select(F.col("first").alias("doc"), F.transform(tx.shingles(F.col("words")), lambda s: F.xxhash64(s)).alias("set"))
-    bodies = _written(bodies.withColumn("n", F.size("set")))
+    bodies = written(bodies.withColumn("n", F.size("set")))
     df = bodies.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = bodies.select("doc", "n", F.explode("set").alias("s")).join(df, "s")
     # Shingles of one body alone come first in the rarity order, and none of them can be shared.
@@ -196,30 +196,21 @@ def near_pairs(docs: DataFrame, threshold: float = NEAR_JACCARD) -> DataFrame:
     return full.select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("j")).filter(F.col("j") >= threshold).select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/corpusloom/work-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node each node of (a, b) is connected with.
 
     Labels spread along edges and jump to their label's label; rounds grow with the logarithm of the
     longest path.
     """
-    both = _written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     total = labels.agg(F.sum("label")).head()[0]
     while total is not None:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        spread = _written(spread)
+        spread = written(spread)
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = _written(spread.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "far"), "label").alias("label")))
+        labels = written(spread.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "far"), "label").alias("label")))
         before, total = total, labels.agg(F.sum("label")).head()[0]
         if total == before:
             break

@@ -14,6 +14,7 @@ from corpusloom.operators import tree as tr
 from corpusloom.operators import versions as vs
 from corpusloom.plans import sqltext as sq
 from corpusloom.session import table
+from corpusloom.staging import shared_folder
 from corpusloom.streaming import stateful as st
 
 ASKED = (1, 2, 3)
@@ -154,7 +155,7 @@ def events(s, d):
 def _stream(s, d):
     """The windowed counts as a stream that is drained into the shared folder and read back."""
     source = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(d)
-    base = (s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/corpusloom/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(s)}/corpusloom/stream-{uuid.uuid4().hex}"
 
     counts = source.groupBy(F.window("ts", "60 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     query = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.select(F.unix_timestamp("w.start").alias("start"), "event_type", "n").write.mode("overwrite").parquet(f"{base}/out"))
