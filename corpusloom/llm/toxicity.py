@@ -37,7 +37,9 @@ LEAST_Z = 3.0
 #: What each token costs: makes the mean score of clean text negative, as the segment law needs.
 DRIFT = 0.02
 #: Words whose weights a worker keeps; when full, the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Tokens that a worker counts before it passes its counts on.
+COUNTED_AT_ONCE = 100_000
 
 
 @dataclass
@@ -148,19 +150,28 @@ def token_weights(sample: DataFrame) -> dict[str, tuple[float, float]]:
         import pyarrow as pa
         from collections import Counter
 
-        seen = [Counter() for _ in range(4)]
+        seen: dict[str, list[int]] = {}
+
+        def flushed():
+            columns = [pa.array(seen.keys(), pa.string()), *[pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(4)]]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["token", "y1", "y0", "d1", "d0"])
+
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = Counter()
-                for w, k in Counter(TOKEN.findall(text.lower())).items():
+            for i in range(b.num_rows):
+                clean = 1 - b.column(1)[i].as_py()
+                own: dict[str, int] = {}
+                for w, k in Counter(TOKEN.findall(b.column(0)[i].as_py().lower())).items():
                     for t in tokens_of(w):
-                        own[t] += k
-                seen[1 - toxic].update(own)
-                seen[3 - toxic].update(own.keys())
-        tokens = list(seen[0] | seen[1])
-        for at in range(0, len(tokens), 50_000):
-            part = tokens[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([c[t] for t in part], pa.int64()) for c in seen]], names=["token", "y1", "y0", "d1", "d0"])
+                        own[t] = own.get(t, 0) + k
+                for t, k in own.items():
+                    c = seen.get(t) or seen.setdefault(t, [0, 0, 0, 0])
+                    c[clean] += k
+                    c[2 + clean] += 1
+                if len(seen) > COUNTED_AT_ONCE:
+                    yield flushed()
+        if seen:
+            yield flushed()
 
     counts = sample.select("text", "toxic").mapInArrow(count, schema).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y1", "y0", "d1", "d0")])
     counts = staged(counts, "toxicity-tokens")
