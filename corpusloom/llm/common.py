@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.shipping import ship  # noqa: F401  for the operators
+from corpusloom.staging import shared_folder as shared_dir
+
 #: One "word": a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows per bucket of a distributed ordering, and the most buckets of one group.
@@ -21,12 +20,6 @@ MOST_BUCKETS = 1 << 20
 ROWS_AT_ONCE = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or "file:///tmp/checkpoints").rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -38,21 +31,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a Spark context, for workers started in another folder."""
-    sc = spark.sparkContext
-    if getattr(sc, "_corpusloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()
-    target = os.path.join(folder, "corpusloom_package.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(target)
-    sc._corpusloom_shipped = True
-
-
 def worker_cache(key, build):
     """``build()`` once a worker process (tokenizers, model matrices), however many tasks it runs."""
     store = sys.__dict__.setdefault("_corpusloom_cache", {})

@@ -24,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
+        "op10_sharding": sharding.SQL,
     }

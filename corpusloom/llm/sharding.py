@@ -55,3 +55,17 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: str = "shar
 
 def query(spark, sf_dir):
     return interleave(documents(spark, sf_dir)).drop("source")
+
+
+# CRC-32 by its table, a byte a step; the rest is plain window functions.
+SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+raw AS (SELECT doc_id, source, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1) AS bytes FROM documents),
+rows AS (SELECT doc_id, source, CAST(len(bytes) + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM raw, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, text_crc32, size) - 1 AS place,
+  count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS LAST) AS rank, count(*) OVER () AS total FROM rows),
+ordered AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * place + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), rank) - 1 AS position FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position * 16 // total AS INTEGER) AS shard,
+  CAST(position - (position * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM ordered
+"""
