@@ -34,6 +34,8 @@ SEGMENT_IDS = 1 << 20
 KEPT_WORDS = 400_000
 #: Words of letters that have one form each in Unicode.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: What the pre-tokenizer splits a word of those, digits and ASCII signs into, if it has no apostrophe.
+PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others in turn from U+0100.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -137,8 +139,7 @@ class WordEncoder:
     """Ids of a text by the tokenizers library, each distinct word encoded once.
 
     The file's pre-tokenizer drops white space and its normalizer works within words, so that a text's ids
-    are its words' ids in order, and those of a word that ends in "." or "," after an ASCII letter or
-    digit are the ids of the two parts.  Words are split at ASCII blanks only.
+    are its words' ids in order, and those of a word are its pieces' ids.  Words are split at ASCII blanks.
     """
 
     def __init__(self, path: str):
@@ -148,7 +149,6 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.words: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
-        self.ends = {b: self._ids(bytes([b])) for b in b".,"}
 
     def _ids(self, text: bytes) -> bytes:
         import numpy as np
@@ -156,17 +156,21 @@ class WordEncoder:
         return np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        known, stem = self.words, word[:-1]
-        if word[-1] in self.ends and stem[-1:].isalnum():
-            if stem not in known:
-                known[stem] = self._word(stem)
-            return known[stem] + self.ends[word[-1]]
         text = word.decode()
         if LATIN.fullmatch(text):
             # One piece for the pre-tokenizer, and lowering is all that the normalizer does: on to the merges.
             piece = text.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
             return struct.pack(f"<{len(t := self.model.tokenize(piece))}I", *[x.id for x in t])
-        return self._ids(word)
+        pieces = PIECES.findall(text)
+        if len(pieces) < 2 or "'" in text or "".join(pieces) != text:
+            return self._ids(word)
+        known, out = self.words, []
+        for p in pieces:
+            key = p.encode()
+            if key not in known:
+                known[key] = self._word(key)
+            out.append(known[key])
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
