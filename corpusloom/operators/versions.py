@@ -92,3 +92,28 @@ def by_lag(rows: DataFrame, order: str, value: str) -> DataFrame:
     """Rows whose ``value`` is below the one before them in ``order`` within their source."""
     before = F.lag(value).over(Window.partitionBy("source").orderBy(order))
     return rows.withColumn("before", before).filter(F.col("before") > F.col(value))
+
+
+def grouped_scopes(roots: DataFrame, nodes: DataFrame, closure: DataFrame) -> DataFrame:
+    """(scope, root): several roots under one parent are shown as that parent, unless another parent's root lies under it too.
+
+    A root alone under its parent, or without one, is its own scope.
+    """
+    placed = roots.select("id").join(nodes.select("id", "parent"), "id", "left")
+    count = F.count(F.lit(1)).over(Window.partitionBy("parent"))
+    placed = placed.withColumn("n", F.when(F.col("parent").isNotNull(), count).otherwise(1))
+    parents = placed.filter("n > 1").select("parent").distinct()
+    under = closure.filter("distance > 1").join(roots.select("id"), "id", "left_semi").select(F.col("ancestor").alias("parent")).distinct()
+    lifted = parents.join(under, "parent", "left_anti").withColumn("lift", F.lit(True))
+    rows = placed.join(lifted, "parent", "left")
+    return rows.select(F.when(F.col("lift") & (F.col("n") > 1), F.col("parent")).otherwise(F.col("id")).alias("scope"), F.col("id").alias("root"))
+
+
+def scope_labels(scopes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(scope, label): the shortest end of each scope's path (array of names, root first) that no other scope's path ends with."""
+    rows = scopes.select(F.col("scope").alias("id")).distinct().join(paths, "id")
+    ends = rows.select("id", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("k"), "path")
+    ends = ends.select("id", "k", F.array_join(F.slice("path", F.size("path") - F.col("k") + 1, F.col("k")), " / ").alias("label"))
+    alone = ends.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    best = alone.groupBy("id").agg(F.min_by("label", F.struct(F.when(F.col("n") == 1, 0).otherwise(1), "k")).alias("label"))
+    return best.select(F.col("id").alias("scope"), "label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["keyword_queries", "similarity_queries", "structure_queries", "corpus_queries"]
+MODULES = ["keyword_queries", "similarity_queries", "structure_queries", "corpus_queries", "lexicon_queries"]
 
 
 def _all(what: str) -> dict:
