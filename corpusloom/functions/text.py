@@ -101,8 +101,12 @@ def words(text: Column) -> Column:
 def shingles(word_array: Column, n: int = 3) -> Column:
     """Distinct word n-grams in order of first occurrence; fewer words than n are one shingle, none are none."""
     count = F.size(word_array)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(word_array, i, n)))
-    return F.when(count == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    whole = F.greatest(count - (n - 1), F.lit(0))
+    # The words are argument of a few slices, not of a lambda, which would make them anew for each shingle.
+    zipped = F.arrays_zip(*[F.slice(word_array, j + 1, whole).alias(f"w{j}") for j in range(n)])
+    grams = F.transform(zipped, lambda x: F.concat_ws(" ", *[x.getField(f"w{j}") for j in range(n)]))
+    short = F.when(count == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(word_array, " ")))
+    return F.when(count < n, short).otherwise(F.array_distinct(grams))
 
 
 def jaccard(a: Column, b: Column) -> Column:
