@@ -38,7 +38,9 @@ def _accents() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without accents and other combining marks."""
     accented, plain = _accents()
-    return F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{M}+", "")
+    bare = F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{M}+", "")
+    # As many bytes as characters: nothing but ASCII, which has no marks.
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(bare)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -68,12 +70,16 @@ def is_stop_word(word: Column) -> Column:
     return word.isin(STOP_WORDS)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def index_terms(text: Column) -> Column:
     """Index-side terms in order: compound pieces of the raw tokens, stop words dropped, unstemmed."""
-    raw = raw_tokens(text)
     # Most texts have no compound: theirs are not taken apart.
-    pieces = F.when(F.exists(raw, lambda t: F.instr(t, "-") > 0), F.flatten(F.transform(raw, compound_pieces))).otherwise(raw)
-    return F.filter(pieces, lambda t: ~is_stop_word(t))
+    pieces = lambda raw: F.when(F.exists(raw, lambda t: F.instr(t, "-") > 0), F.flatten(F.transform(raw, compound_pieces))).otherwise(raw)
+    return let(raw_tokens(text), lambda raw: F.filter(pieces(raw), lambda t: ~is_stop_word(t)))
 
 
 def query_terms(text: str, trailing_prefix: bool = False) -> list[str]:

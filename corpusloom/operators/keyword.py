@@ -40,15 +40,14 @@ def _equals(word: str):
 
 def term_counts(docs: DataFrame, terms: Sequence[str], fields: Sequence[str] = ("name", "content")) -> DataFrame:
     """(id, kind, scope, depth, len_<field>, tf_<field>: counts in the order of ``terms``)."""
-    out = docs
-    for f in fields:
-        out = out.withColumn(f"_t_{f}", tx.index_terms(F.col(f)))
-    keep = [F.col(c) for c in ("id", "kind", "scope", "depth")]
-    for f in fields:
-        tokens = F.col(f"_t_{f}")
-        keep.append(F.size(F.array_distinct(tokens)).alias(f"len_{f}"))
-        keep.append(F.array(*[F.size(F.filter(tokens, _equals(w))) for w in terms]).alias(f"tf_{f}"))
-    return out.select(*keep)
+    def counted(tokens: Column) -> Column:
+        return F.struct(F.size(F.array_distinct(tokens)).alias("len"), F.array(*[F.size(F.filter(tokens, _equals(w))) for w in terms]).alias("tf"))
+
+    each = F.struct(*[tx.let(tx.index_terms(F.col(f)), counted).alias(f) for f in fields])
+    # Generated, so that no filter or projection above is moved below it and makes the tokens again.
+    rows = docs.select("id", "kind", "scope", "depth", F.explode(F.array(each)).alias("c"))
+    flat = [F.col(f"c.{f}.{x}").alias(f"{x}_{f}") for f in fields for x in ("len", "tf")]
+    return rows.select("id", "kind", "scope", "depth", *flat)
 
 
 def scored(docs: DataFrame, terms: Sequence[str], fields: Sequence[str] = ("name", "content"), where: Column | None = None) -> DataFrame:
