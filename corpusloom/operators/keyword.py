@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.staging import written
 
 # Field boosts, and the constants of the BM25+ formula.
 FIELD_BOOSTS = {"doc_no": 5.0, "name": 3.0, "content": 1.0, "extras": 1.0, "expansion": 0.25}
@@ -57,7 +58,8 @@ def scored(docs: DataFrame, terms: Sequence[str], fields: Sequence[str] = ("name
     the number of matched terms and the depth boost.  ``where`` filters documents before ranking; the statistics
     are the whole corpus's.
     """
-    counts = term_counts(docs, terms, fields)
+    # The statistics and the ranking both need the counts: a few numbers a document, so that texts are read once.
+    counts = written(term_counts(docs, terms, fields))
     stats = [F.count(F.lit(1)).alias("n")]
     for f in fields:
         stats.append(F.avg(f"len_{f}").alias(f"avg_{f}"))
