@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import jaccard
 from corpusloom.llm.common import arrow_batches, arrow_schema, documents, ship, shuffle_partitions, staged
 from corpusloom.llm.components import connected_components
 
@@ -179,14 +180,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return rows.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept_documents(docs: DataFrame, words: int = 5, distance: int = 6) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with the columns of ``docs``.
+def kept_documents(docs: DataFrame, words: int = 5, threshold: float = jaccard.THRESHOLD) -> DataFrame:
+    """One document of each component of near copies, that with the smallest doc_id, with the columns of ``docs``.
 
-    Links more widely than the query: single-word edits of a page move a SimHash by about six bits.  Only
-    the doc_ids that go take part in the join.  Rows that share a doc_id stay or go together; rows
-    without one stay.
+    Links by the exact Jaccard similarity of word shingles, not by fingerprints: pairs at 0.8 differ in 4 to
+    14 bits, more than pigeonhole blocks can cover.  Only the doc_ids that go take part in the join.  Rows
+    that share a doc_id stay or go together; rows without one stay.
     """
-    placed = near_duplicates(docs, words, distance)
+    placed = jaccard.near_copies(docs, words, threshold)
     gone = placed.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(staged(gone, "simhash-gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
 
