@@ -140,13 +140,14 @@ class WordEncoder:
 
     The file's pre-tokenizer drops white space and its normalizer works within words, so that a text's ids
     are its words' ids in order, and those of a word are its pieces' ids.  Words are split at ASCII blanks.
+    Texts that hold an added token, in any case of letters, go through the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
 
@@ -174,7 +175,11 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        words = text.encode().lower().split()
+        raw = text.encode()
+        low = raw.lower()
+        if any(t in low for t in self.added):
+            return self._ids(raw)
+        words = low.split()
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         known = self.words
