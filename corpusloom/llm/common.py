@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.shipping import ship  # noqa: F401  for the operators
-from corpusloom.staging import shared_folder as shared_dir
+from corpusloom.staging import new_place, written
 
 #: One "word": a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,10 +24,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage without executor-local storage: a lost executor costs only its running tasks.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hashed_side(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys`` as the hashed side of a join, so that the other side is dealt but not sorted, if a task's share is small.
+
+    Beyond a million rows a task the join sorts both sides, which spills.
+    """
+    return keys.hint("shuffle_hash" if rows <= 1_000_000 * shuffle_partitions(keys.sparkSession) else "merge")
 
 
 def worker_cache(key, build):
@@ -48,9 +60,18 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
 
 
-def shuffle_key(doc_id: Column, seed: str) -> Column:
-    """A seeded hash that orders rows at random, the same in every run (hex, 32 digits)."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def blind_digest(doc_id: str, text: str) -> Column:
+    """``_digest``: the MD5 of the texts of rows without an id, null for all others."""
+    return F.when(F.col(doc_id).isNull(), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("_digest")
+
+
+def shuffle_key(doc_id: Column, seed: str, digest: Column | None = None) -> Column:
+    """A seeded hash that orders rows at random, the same in every run (hex, 32 digits).
+
+    Rows without an id have ``digest`` in its place, if it is given, so that they do not all share one key.
+    """
+    blind = F.lit("") if digest is None else F.concat(F.lit(":"), digest)
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), blind)))
 
 
 def unit(key: Column) -> Column:

@@ -12,8 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, staged
+from corpusloom.llm.common import documents, shuffle_partitions, staged, unused
 
+#: Digests a bucket of a new index: about 200 MB.
+DIGESTS_PER_BUCKET = 2_000_000
 #: The characters that do not count: space, and tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -47,6 +49,9 @@ class DigestIndex:
         """The rows of ``digests`` (one row a digest) that the index lacks; only the new side is shuffled."""
         return digests.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, digests: DataFrame) -> None:
         """Adds rows (text_sha256, keep_id, n_points) in the index's layout, one file a bucket."""
         rows = digests.select("text_sha256", "keep_id", "n_points").repartition(self.buckets, "text_sha256")
@@ -69,8 +74,10 @@ def grouped(digests: DataFrame) -> DataFrame:
     return g.select("text_sha256", real.cast("long").alias("keep_id"), (-F.col("best.less")).alias("n_points"), "group_size")
 
 
-def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Deduplicates a batch against ``index`` and within itself, and appends what is new to it.
+def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """Deduplicates a batch against ``index`` (none: a new one, of as many buckets as the digests need) and within itself.
+
+    Appends what is new to the index.
 
     Reads the columns doc_id and text.  Returns a row a document: doc_id, keep_id (of the row that stays, which
     may have come in an earlier batch), group_size (rows of the batch with that text), kept, text_sha256.
@@ -79,6 +86,7 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     rows = digested(docs)
     groups = staged(grouped(rows), "exact-groups")
+    index = index or new_index(docs.sparkSession, buckets_for_digests(groups))
     index.append(index.unseen(groups))
     known = index.table().select("text_sha256", "keep_id").hint("merge")
     placed = staged(groups.select("text_sha256", "group_size").join(known, "text_sha256"), "exact-placed")
@@ -89,8 +97,13 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
-    """An empty index of its own name, in the warehouse."""
+def buckets_for_digests(digests: DataFrame) -> int:
+    """As many buckets as shuffle partitions, so that either side of the join is dealt alike, or more for more digests."""
+    return max(shuffle_partitions(digests.sparkSession), -(-digests.count() // DIGESTS_PER_BUCKET))
+
+
+def new_index(spark: SparkSession, buckets: int) -> DigestIndex:
+    """An empty index of its own name, in the warehouse; ``drop`` it when its results are used up."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=buckets)
 
 
@@ -98,22 +111,23 @@ def kept_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFra
     """The documents that stay, with the columns of ``docs``; of rows alike in doc_id and text one stays.
 
     Only the doc_ids of rows that go, and of rows that share a doc_id, take part in joins with the texts.
+    Columns of any name are kept as they are.
     """
-    decided = dedup(docs, index or new_index(docs.sparkSession))
+    decided = dedup(docs, index)
     by_id = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     odd = staged(by_id.filter(~F.col("kept") | (F.col("n") > 1)).withColumnRenamed("doc_id", "_id"), "exact-odd")
     plain = docs.join(odd.select("_id"), docs["doc_id"].eqNullSafe(odd["_id"]), "left_anti")
     shared = odd.filter("n > 1 AND kept").select("_id")
-    several = docs.withColumn("_own_sha", text_digest(F.col("text"))).join(shared, docs["doc_id"].eqNullSafe(shared["_id"]), "left_semi")
+    own = unused(docs, "_own_sha")
+    several = docs.withColumn(own, text_digest(F.col("text"))).join(shared, docs["doc_id"].eqNullSafe(shared["_id"]), "left_semi")
     stays = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    several = several.join(stays, several["doc_id"].eqNullSafe(stays["_id"]) & (several["_own_sha"] == stays["_sha"]), "left_semi")
-    return plain.unionByName(several.dropDuplicates(["doc_id", "_own_sha"]).select(*docs.columns))
+    several = several.join(stays, several["doc_id"].eqNullSafe(stays["_id"]) & (several[own] == stays["_sha"]), "left_semi")
+    return plain.unionByName(several.dropDuplicates(["doc_id", own]).select(*docs.columns))
 
 
 def query(spark, sf_dir):
-    # As many buckets as shuffle partitions, so that either side of the join is dealt alike.
-    index = new_index(spark, buckets=max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return dedup(documents(spark, sf_dir), index)
+    # One batch: which row of a text stays is chosen among all rows of the table, not among those of a part.
+    return dedup(documents(spark, sf_dir))
 
 
 SQL = r"""

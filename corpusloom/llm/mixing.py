@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import buckets_for, prefix_sums, ranked_sources, shuffle_key, staged, unit, word_count
+from corpusloom.llm.common import blind_digest, buckets_for, hashed_side, prefix_sums, ranked_sources, shuffle_key, staged, unit, unused, word_count
 
 
 def source_targets(stats: DataFrame, weights: Sequence[int], share: float, epochs: float) -> DataFrame:
@@ -47,16 +47,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     source_size, target, taken and copies.  ``taken`` counts repeats and is exact to the word: the words
     taken of a source add up to floor(target).  ``copies`` is the same decision for whole documents: the
     full epochs, and one more where at least half of the document lies before the cut.  A null text has
-    size 0, a null source is a source of its own.  Rows with the same doc_id are separate rows.  An
-    empty table gives an empty result.
+    size 0, a null source is a source of its own.  A null doc_id is drawn by its text.  Rows with the same doc_id
+    are separate rows; those alike in doc_id, text and source are placed as one and told apart afterwards, so that
+    no task holds them all.  An empty table gives an empty result.
     """
-    rows = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), blind_digest("doc_id", "text")), "mix-sizes")
+    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = source_targets(stats, weights, share, epochs).withColumnRenamed("source", "_source")
+    rows = sized.groupBy("doc_id", "source", "size", "_digest").agg(F.count(F.lit(1)).alias("_alike"))
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["_source"])).drop("_source")
-    rows = rows.withColumn("_key", shuffle_key(F.col("doc_id"), seed))
+    rows = rows.withColumn("_key", shuffle_key(F.col("doc_id"), seed, F.col("_digest"))).withColumn("_mass", F.col("size") * F.col("_alike"))
     rows = rows.withColumn("_bucket", F.floor(unit(F.col("_key")) * buckets_for(F.col("source_rows"))))
-    rows = prefix_sums(rows, ["_rank"], "_bucket", ["_key", "doc_id", "size"], "size", "_before")
+    rows = prefix_sums(rows, ["_rank"], "_bucket", ["_key", "doc_id", "size"], "_mass", "_before")
+    rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(0), F.col("_alike") - 1)))
+    rows = rows.withColumn("_before", F.col("_before") + F.col("_nth") * F.col("size"))
     whole = F.floor(F.col("target")).cast("long")
     rounds = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rows = rows.withColumn("_rounds", rounds.cast("long")).withColumn("_rest", whole - F.col("_rounds") * F.col("source_size"))
@@ -70,16 +74,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mixture, whole, each as often as it is taken, with the columns of ``docs``.
+    """The documents of the mixture, whole, each as often as it is taken, with the columns of ``docs``, whatever their names.
 
     Documents are matched to their decision by doc_id; rows that share a doc_id take the largest.
     """
-    wanted = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
-    wanted = wanted.withColumnRenamed("doc_id", "_mix_id")
+    id_, copies, copy = unused(docs, "_mix_id"), unused(docs, "_mix_copies"), unused(docs, "_mix_copy")
+    wanted = mix(docs, **how).groupBy(F.col("doc_id").alias(id_)).agg(F.max("copies").cast("int").alias(copies)).filter(F.col(copies) > 0)
+    wanted = staged(wanted, "mix-decisions")
     # The table of decisions is hashed, so that the texts are dealt but not sorted.
-    joined = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["_mix_id"]))
-    joined = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return joined.select(*[joined[c] for c in docs.columns])
+    joined = docs.join(hashed_side(wanted, wanted.count()), docs["doc_id"].eqNullSafe(wanted[id_]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def query(spark, sf_dir):
@@ -90,7 +94,8 @@ def query(spark, sf_dir):
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS digest FROM documents),
 stats AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
   SELECT *, CAST([3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap,
@@ -103,7 +108,7 @@ targets AS (
   SELECT source, source_size, round(least(cap, w * (SELECT max(level) FROM levels WHERE level <= cap / w)), 6) AS target FROM levels),
 placed AS (
   SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS whole,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY CASE WHEN doc_id IS NULL THEN md5('mix::' || digest) ELSE md5('mix:' || CAST(doc_id AS VARCHAR)) END, doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, bucket string, fp long, blob string, toxic int, kept boolean, _id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, bucket string, fp long, blob string, toxic int, kept boolean, _id long, slot string, _own_sha string, _gone string, _mix_copies string, _mix_copy string, _mix_id string, _toxicity string, _row string"
+
+CLASHES = tuple("stuvwxyz")
 
 
 def words(rng, n):
@@ -21,8 +23,8 @@ def odd_rows():
     texts += [words(rng, rng.randint(1, 60)) for _ in range(30)] + [texts[-1]] * 3
     rows = []
     for i, t in enumerate(texts):
-        rows.append((i * 3, t, rng.choice(["en", "de", None]), rng.choice(["s1", "s10", "s2", None]), None if i % 4 == 0 else 5, 1, 2, "b", 3, "x", 1, True, 9))
-    rows += [rows[5], rows[12], (None, "no id", None, None, None, None, None, None, None, None, None, None, None), (7, rows[20][1], "en", "s2", 1, 1, 1, "b", 1, "x", 0, False, 1)]
+        rows.append((i * 3, t, rng.choice(["en", "de", None]), rng.choice(["s1", "s10", "s2", None]), None if i % 4 == 0 else 5, 1, 2, "b", 3, "x", 1, True, 9, *CLASHES))
+    rows += [rows[5], rows[12], (None, "no id", None, None, None, None, None, None, None, None, None, None, None, *[None] * 8), (7, rows[20][1], "en", "s2", 1, 1, 1, "b", 1, "x", 0, False, 1, *CLASHES)]
     return rows
 
 

@@ -114,3 +114,32 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
+
+
+def test_rows_are_written_once_with_all_columns(spark, odd, odd_rows, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*odd.columns, "shard_", "slot_"}
+    assert Counter(tuple(map(str, r)) for r in back.select(odd.columns).collect()) == Counter(tuple(map(str, r)) for r in odd_rows)
+    places = sorted((r.shard_, r.slot_) for r in back.collect())
+    n = len(odd_rows)
+    assert places == sorted((i * 3 // n, i - -(-(i * 3 // n) * n // 3)) for i in range(n))
+    # Five rows, one doc_id twice and none twice.
+    few = spark.createDataFrame([(1, "a", "s"), (1, "b", "s"), (None, "c", "s"), (None, "c", "s"), (2, None, None)], "doc_id long, text string, source string")
+    sharding.write_shards(few, str(tmp_path / "few"), shards=2)
+    assert spark.read.parquet(str(tmp_path / "few")).count() == 5
+
+
+def test_clashing_columns_stay_as_they_are(odd, odd_rows):
+    rows = Counter(tuple(map(str, r)) for r in mixing.mixed_documents(odd).collect())
+    assert set(rows) <= {tuple(map(str, r)) for r in odd_rows}
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_hot_keys_are_dealt(spark, ids):
+    n = 300
+    docs = spark.createDataFrame([(None if ids == "null" else 7, f"t{i % 100} x", "s") for i in range(n)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, share=0.5).collect()
+    assert len(rows) == n and sum(r.taken for r in rows) == n
+    shards = Counter(r.shard for r in sharding.interleave(docs, 4).collect())
+    assert shards == Counter({k: n // 4 for k in range(4)})
