@@ -12,6 +12,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.col("v") % 1_000_003)).head())
 
 
+def with_nodes(groups: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
+    """Adds ``node`` to ``groups`` (first: smallest doc_id, or null): that doc_id, or a number above all doc_ids of ``rows``.
+
+    Also returns the least such number.  Components labelled by their smallest node are then labelled by their smallest doc_id.
+    """
+    most = rows.agg(F.max("doc_id")).head()[0]
+    above = 0 if most is None else most + 1
+    if above > 1 << 62:
+        raise ValueError("doc_ids above 2**62 leave no numbers for rows without one")
+    return groups.withColumn("node", F.coalesce("first", F.monotonically_increasing_id() + F.lit(above))), above
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v: long): label is the smallest node it is connected with.
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard
 from corpusloom.llm.common import arrow_batches, arrow_schema, documents, ship, shuffle_partitions, staged
-from corpusloom.llm.components import connected_components
+from corpusloom.llm.components import connected_components, with_nodes
 
 BITS = 64
 SEED = 42
 #: Shingles counted at a time: bounds the memory of a long text.
 CHUNK = 1 << 15
+#: Distinct fingerprints under a masked value that are walked pair by pair; more are cut into blocks once more.
+DENSE = 1024
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -70,6 +72,29 @@ def block_masks(n: int, distance: int) -> list[int]:
     return [sum(part[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
 
 
+def dense_links(values, mask: int, distance: int) -> list[tuple[int, int]]:
+    """``spanning_links`` of values that agree under ``mask``, at less than all pairs' cost.
+
+    Large groups are cut by the bits outside the mask into distance + 1 blocks: a pair within ``distance`` agrees in one
+    of those too, so that each block's groups of equal bits hold every pair between them.
+    """
+    import numpy as np
+
+    if len(values) <= DENSE:
+        return spanning_links(values, distance)
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    out = []
+    for i in range(distance + 1):
+        block = np.uint64(sum(1 << b for b in free[i :: distance + 1]))
+        order = np.argsort(values & block, kind="stable")
+        held = values[order]
+        cut = np.flatnonzero((held[1:] & block) != (held[:-1] & block)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(held)], strict=True):
+            if b - a > 1:
+                out += spanning_links(held[a:b], distance)
+    return out
+
+
 def spanning_links(values, distance: int) -> list[tuple[int, int]]:
     """Links that connect what pairs of ``values`` (distinct uint64) within ``distance`` connect, one for each value at most.
 
@@ -111,16 +136,17 @@ class Forest:
 
 
 def links(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
-    """(u, v): enough links between the distinct fingerprints ``fps`` (fp) to connect all pairs within ``distance``.
+    """(u, v): enough links between the nodes of ``fps`` (fp, node; distinct fingerprints) to connect all pairs within ``distance``.
 
     Copies are one fingerprint here, and a masked value's group is walked in one task; what it can
     hold is bounded by how many distinct fingerprints lie near each other, not by the number of rows.
     """
     parts = shuffle_partitions(fps.sparkSession)
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(n, distance)]
+    masks = block_masks(n, distance)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    dealt = fps.select("fp", F.explode(keys).alias("k")).select("k.mask", "k.key", "fp")
-    dealt = dealt.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key")
+    dealt = fps.select("fp", "node", F.explode(keys).alias("k")).select("k.mask", "k.key", "fp", "node")
+    dealt = dealt.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key", "fp")
     target = arrow_schema("u long, v long")
 
     def work(batches):
@@ -129,23 +155,29 @@ def links(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
 
         forest = Forest()
 
-        def linked(mask, key, fp):
+        def linked(mask, key, fp, node):
             """The new links of whole groups."""
             cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
             two = first[last - first == 2]
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-            found = list(zip(fp[near].tolist(), fp[near + 1].tolist(), strict=True))
+            found = list(zip(node[near].tolist(), node[near + 1].tolist(), strict=True))
             for a, b in zip(first[last - first > 2], last[last - first > 2], strict=True):
-                found += spanning_links(fp[a:b], distance)
+                pairs = dense_links(fp[a:b], masks[mask[a]], distance)
+                if pairs:
+                    # Ascending within a group, as sorted unsigned.
+                    order = np.argsort(fp[a:b])
+                    at = order[np.searchsorted(fp[a:b], np.array(pairs, np.uint64), sorter=order)]
+                    found += [tuple(p) for p in node[a:b][at].tolist()]
             found = [p for p in found if forest.join(*p)]
-            u = np.array([p[0] for p in found], dtype=np.uint64).view(np.int64)
-            v = np.array([p[1] for p in found], dtype=np.uint64).view(np.int64)
+            u = np.array([p[0] for p in found], dtype=np.int64)
+            v = np.array([p[1] for p in found], dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=target)
 
         held = None
         for b in batches:
-            now = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now[2] = now[2].view(np.uint64)
             if not b.num_rows:
                 continue
             held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
@@ -170,13 +202,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     a component unless it stands alone there.  Empty in, empty out.
     """
     rows = staged(fingerprints(docs, words), "simhash-rows")
-    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    found = links(fps.select("fp"), fps.count(), distance)
-    labels = connected_components(found).withColumnRenamed("node", "fp")
-    placed = fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = staged(placed.join(smallest, "label").select("fp", "component_id"), "simhash-components")
+    fps, above = with_nodes(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), rows)
+    fps = staged(fps, "simhash-distinct")
+    labels = connected_components(links(fps.select("fp", "node"), fps.count(), distance))
+    label = F.coalesce("label", "node")
+    known = fps.join(labels, "node", "left").select("fp", F.when(label < above, label).alias("component_id"))
     # A fingerprint has one row on the right: adaptive execution splits a hot one's rows on the left.
+    known = staged(known, "simhash-components")
     return rows.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -189,7 +221,8 @@ def kept_documents(docs: DataFrame, words: int = 5, threshold: float = jaccard.T
     """
     placed = jaccard.near_copies(docs, words, threshold)
     gone = placed.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(staged(gone, "simhash-gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = staged(gone, "simhash-gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark, sf_dir):

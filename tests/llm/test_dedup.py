@@ -62,6 +62,7 @@ def test_the_anti_join_reads_the_index_in_place(spark):
 def test_kept_documents_are_one_a_text(odd, none):
     kept = ed.kept_documents(odd)
     texts = [bare(r.text) for r in kept.collect()]
+    assert {str(tuple(r)) for r in kept.collect()} <= {str(tuple(r)) for r in odd.collect()}
     assert kept.columns == odd.columns and len(texts) == len(set(texts))
     assert set(texts) == {bare(r.text) for r in odd.collect()}
     assert ed.kept_documents(none).count() == 0 and ed.dedup(none, ed.new_index(none.sparkSession, 2)).count() == 0
@@ -144,7 +145,7 @@ def test_links_connect_dense_and_chained_groups(spark):
     values = sorted(set(values))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     for n in (10, 10**6, 10**9):
-        edges = sh.links(spark.createDataFrame([(v,) for v in signed], "fp long"), n)
+        edges = sh.links(spark.createDataFrame([(v, v) for v in signed], "fp long, node long"), n)
         labels = {r.node: r.label for r in connected_components(edges).collect()}
         mine = [labels.get(v, v) for v in signed]
         want = plain_components(list(range(len(values))), values, 4)
@@ -152,6 +153,31 @@ def test_links_connect_dense_and_chained_groups(spark):
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_dense_groups_link_like_all_pairs(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 1 << 63)) << 1
+    values = sorted({base ^ sum(1 << int(b) for b in rng.choice(range(26), rng.integers(0, 9), replace=False)) for _ in range(900)})
+    mask = ((1 << 64) - 1) ^ ((1 << 26) - 1)
+    want = plain_components(list(range(len(values))), values, 4)
+    monkeypatch.setattr(sh, "DENSE", 10)
+    forest = sh.Forest()
+    for a, b in sh.dense_links(np.array(values, np.uint64), mask, 4):
+        assert (a ^ b).bit_count() <= 4
+        forest.join(a, b)
+    pairs = {(forest.root(v), w) for v, w in zip(values, want, strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
+
+
+def test_rows_without_ids_name_no_component(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words stand here"), (5, "a b c d e f"), (-3, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in sh.near_duplicates(docs).collect())
+    assert got == Counter({(None, 5): 2, (None, None): 1, (5, 5): 1, (-3, -3): 1})
+    assert sh.kept_documents(docs).count() == 5
+    blind = docs.filter("doc_id is null")
+    assert {r.component_id for r in sh.near_duplicates(blind).collect()} == {None} and sh.kept_documents(blind).count() == 3
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(500, 500)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
