@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 
 def metrics(rankings: DataFrame, judgments: DataFrame) -> DataFrame:
-    """(query, ndcg10, mrr, recall10, recall50) of rankings (query, rank, doc) and judgments (query, unit, grade, doc).
+    """(query, ndcg10, mrr, recall10, recall50), to 6 places, of rankings (query, rank, doc) and judgments (query, unit, grade, doc)."""
+    exact = exact_metrics(rankings, judgments)
+    return exact.select("query", *[F.round(c, 6).alias(c) for c in ("ndcg10", "mrr", "recall10", "recall50")])
+
+
+def exact_metrics(rankings: DataFrame, judgments: DataFrame) -> DataFrame:
+    """(query, ndcg10, mrr, recall10, recall50, precision5, forbidden) without rounding: what means are taken of.
 
     A unit is credited once, at its first place; gain 2**grade - 1 for positive grades over log2(rank + 1);
-    nDCG is 0 without an ideal, recall 1 without anything to find.
+    nDCG is 0 without an ideal, recall 1 without anything to find.  ``precision5`` is the share of the first five places
+    that hold a document of a positive grade; ``forbidden`` counts documents of a negative grade among the first ten.
     """
     good = judgments.filter("grade > 0")
     found = rankings.join(good, ["query", "doc"]).groupBy("query", "unit", "grade").agg(F.min("rank").alias("rank"))
@@ -22,18 +29,25 @@ def metrics(rankings: DataFrame, judgments: DataFrame) -> DataFrame:
     units = good.select("query", "unit", "grade").distinct()
     place = units.withColumn("p", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), "unit")))
     ideal = place.groupBy("query").agg(F.sum(F.when(F.col("p") <= 10, gain(F.col("grade")) / F.log2(F.col("p") + 1)).otherwise(0.0)).alias("ideal"), F.count(F.lit(1)).alias("units"))
-    rows = judgments.select("query").distinct().join(ideal, "query", "left").join(got, "query", "left")
+    graded = rankings.join(judgments.groupBy("query", "doc").agg(F.max("grade").alias("best"), F.min("grade").alias("worst")), ["query", "doc"])
+    seen = graded.groupBy("query").agg(F.count_if((F.col("rank") <= 5) & (F.col("best") > 0)).alias("good5"), F.count_if((F.col("rank") <= 10) & (F.col("worst") < 0)).alias("forbidden"))
+    rows = judgments.select("query").distinct().join(ideal, "query", "left").join(got, "query", "left").join(seen, "query", "left")
     recall = lambda c: F.when(F.coalesce("units", F.lit(0)) == 0, 1.0).otherwise(F.coalesce(F.col(c), F.lit(0)) / F.col("units"))
     return rows.select(
-        "query", F.round(F.when(F.coalesce("ideal", F.lit(0.0)) == 0, 0.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")), 6).alias("ndcg10"),
-        F.round(F.coalesce("mrr", F.lit(0.0)), 6).alias("mrr"), F.round(recall("f10"), 6).alias("recall10"), F.round(recall("f50"), 6).alias("recall50"),
+        "query", F.when(F.coalesce("ideal", F.lit(0.0)) == 0, 0.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg10"),
+        F.coalesce("mrr", F.lit(0.0)).alias("mrr"), recall("f10").alias("recall10"), recall("f50").alias("recall50"),
+        (F.coalesce("good5", F.lit(0)) / 5).alias("precision5"), F.coalesce("forbidden", F.lit(0)).alias("forbidden"),
     )
 
 
 def summaries(scores: DataFrame, *groups: str) -> DataFrame:
-    """Means for each group of each column, and overall, in one pass; missing values do not count."""
+    """Means of unrounded metrics for each group of each column, and overall, in one pass; missing values do not count.
+
+    Metrics are added up as decimals of 12 places, so that the mean does not depend on the order of the rows.
+    """
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(20,12)")).cast("double"), 6).alias(c)
     sets = scores.groupingSets([[F.col(g)] for g in groups] + [[]], *[F.col(g) for g in groups])
-    return sets.agg(F.round(F.avg("ndcg10"), 6).alias("ndcg10"), F.round(F.avg("mrr"), 6).alias("mrr"), F.count(F.lit(1)).alias("n"))
+    return sets.agg(mean("ndcg10"), mean("mrr"), F.count(F.lit(1)).alias("n"))
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:

@@ -142,7 +142,7 @@ def postings(docs: DataFrame, fields: Sequence[str] = ("name", "content")) -> Da
 
 
 def field_lengths(docs: DataFrame, fields: Sequence[str] = ("name", "content")) -> DataFrame:
-    each = [docs.select("id", F.lit(f).alias("field"), F.size(F.array_distinct(tx.index_terms(F.col(f)))).alias("n")) for f in fields]
+    each = [docs.select("id", "depth", F.lit(f).alias("field"), F.size(F.array_distinct(tx.index_terms(F.col(f)))).alias("n")) for f in fields]
     return reduce(DataFrame.unionByName, each)
 
 
@@ -171,9 +171,9 @@ def search_index(spark, path: str, terms: Sequence[str], limit: int = RESULT_LIM
     boost = F.create_map(*[x for k, v in FIELD_BOOSTS.items() for x in (F.lit(k), F.lit(v))])[F.col("field")]
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = boost * idf * (DELTA + F.col("tf") * (K + 1) / (F.col("tf") + K * (1 - B + B * F.col("len") / F.col("avg_n"))))
-    found = rows.groupBy("id").agg(F.sum(part).alias("s"), F.count_distinct("term").alias("matched"))
+    found = rows.groupBy("id").agg(F.sum(part).alias("s"), F.count_distinct("term").alias("matched"), F.first("depth").alias("depth"))
     found = found.filter(F.col("matched") == len(terms)) if every else found
-    return top(found.select("id", F.round(F.col("s") * F.col("matched"), 6).alias("score"), "matched"), limit)
+    return top(found.select("id", F.round(F.col("s") * F.col("matched") * depth_boost(F.col("depth")), 6).alias("score"), "matched"), limit)
 
 
 def promoted(ranked: DataFrame, target: int, place: int) -> DataFrame:

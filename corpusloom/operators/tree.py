@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from corpusloom.staging import written
 
 
-def closure(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, distance), each node its own ancestor at 0.
 
     Ancestors double in distance with each round, so that rounds grow with the logarithm of the depth; each
-    round's rows are written, so that later ones do not make them anew.
-    A cycle would never end: ``most_depth`` bounds the distance.
+    round's rows are written, so that later ones do not make them anew.  A cycle raises ValueError.
     """
     edges = nodes.select("id", F.col("parent").alias("ancestor")).filter(F.col("ancestor").isNotNull())
     edges = edges.join(nodes.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", F.lit(1).alias("distance"))
-    edges = written(edges)
-    known, reach = edges, 1
-    while reach < most_depth:
+    known = more = written(edges)
+    reach = 1
+    while True:
+        rows, loops = more.agg(F.count(F.lit(1)), F.count_if(F.col("id") == F.col("ancestor"))).head()
+        if loops:
+            raise ValueError(f"{loops} nodes are their own ancestors")
+        if not rows:
+            break
         far = known.filter(F.col("distance") == reach).select(F.col("id"), F.col("ancestor").alias("mid"))
         more = far.join(known.select(F.col("id").alias("mid"), "ancestor", "distance"), "mid").select("id", "ancestor", (F.col("distance") + reach).alias("distance"))
         more = written(more)
-        if more.isEmpty():
-            break
         known, reach = known.unionByName(more), 2 * reach
     own = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     return own.unionByName(known)

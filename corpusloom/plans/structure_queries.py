@@ -135,7 +135,7 @@ def judged(s, d):
 
 
 def _by_class(s, d):
-    scores = ev.metrics(*judged(s, d)).withColumn("class", F.length("query"))
+    scores = ev.exact_metrics(*judged(s, d)).withColumn("class", F.length("query"))
     return ev.summaries(scores, "class").select(F.coalesce("class", F.lit(-1)).alias("class"), "ndcg10", "mrr", "n")
 
 
@@ -253,9 +253,10 @@ _JUDGED = """r AS (SELECT source AS query, doc_id AS doc, row_number() OVER (PAR
 j AS (SELECT source AS query, l.doc_id AS doc, CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 2 ELSE 1 END AS grade FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
 got AS (SELECT query, sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, 1.0::DOUBLE / min(rank) AS mrr, count(*) FILTER (rank <= 10) AS f10, count(*) FILTER (rank <= 50) AS f50 FROM r JOIN j USING (query, doc) WHERE grade > 0 GROUP BY query),
 best AS (SELECT query, sum(CASE WHEN p <= 10 THEN (pow(2, grade) - 1) / log2(p + 1) ELSE 0 END) AS ideal, count(*) AS units FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS p FROM j WHERE grade > 0) GROUP BY query),
-met AS (SELECT q.query, round(CASE WHEN coalesce(ideal, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / ideal END, 6) AS ndcg10, round(coalesce(mrr, 0), 6) AS mrr,
-  round(CASE WHEN coalesce(units, 0) = 0 THEN 1 ELSE coalesce(f10, 0) / units::DOUBLE END, 6) AS recall10, round(CASE WHEN coalesce(units, 0) = 0 THEN 1 ELSE coalesce(f50, 0) / units::DOUBLE END, 6) AS recall50
-  FROM (SELECT DISTINCT query FROM j) q LEFT JOIN best USING (query) LEFT JOIN got USING (query))"""
+exact AS (SELECT q.query, CASE WHEN coalesce(ideal, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / ideal END AS ndcg10, coalesce(mrr, 0) AS mrr,
+  CASE WHEN coalesce(units, 0) = 0 THEN 1 ELSE coalesce(f10, 0) / units::DOUBLE END AS recall10, CASE WHEN coalesce(units, 0) = 0 THEN 1 ELSE coalesce(f50, 0) / units::DOUBLE END AS recall50
+  FROM (SELECT DISTINCT query FROM j) q LEFT JOIN best USING (query) LEFT JOIN got USING (query)),
+met AS (SELECT query, round(ndcg10, 6) AS ndcg10, round(mrr, 6) AS mrr, round(recall10, 6) AS recall10, round(recall50, 6) AS recall50 FROM exact)"""
 _WINDOWS = "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 _SENT = r"left(CASE WHEN regexp_matches(trim(b.text), '(?s)^.*?[.!?](\s|$)') THEN regexp_extract(trim(b.text), '(?s)^(.*?[.!?])(?:\s|$)', 1) ELSE trim(b.text) END, 220)"
 _QUOTE = r'''trim(regexp_replace(translate(lower(coalesce({}, '')), '‘’“”', chr(39) || chr(39) || '""'), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))'''
@@ -300,7 +301,7 @@ z AS (SELECT number, list(e ORDER BY level) AS key FROM y GROUP BY number) SELEC
     "deleted_nearest_ancestor": f"WITH RECURSIVE {_GONE} SELECT g.id, min_by(c.ancestor, c.distance) AS living FROM gone g LEFT JOIN clo c ON c.id = g.id AND c.ancestor NOT IN (SELECT id FROM gone) GROUP BY g.id",
     "line_range_overlap": "SELECT page_id AS id FROM pages WHERE EXISTS (SELECT 1 FROM range(1, 400) r(k) WHERE page_id * 7 <= k * 50 + 1 AND k * 50 <= page_id * 7 + 4)",
     "ndcg_mrr_recall": f"WITH {_JUDGED} SELECT * FROM met",
-    "metrics_by_class": f"WITH {_JUDGED} SELECT CAST(coalesce(length(query), -1) AS INTEGER) AS class, round(avg(ndcg10), 6) AS ndcg10, round(avg(mrr), 6) AS mrr, count(*) AS n FROM met GROUP BY GROUPING SETS ((length(query)), ())",
+    "metrics_by_class": f"WITH {_JUDGED} SELECT CAST(coalesce(length(query), -1) AS INTEGER) AS class, round(CAST(sum(CAST(ndcg10 AS DECIMAL(20, 12))) AS DOUBLE) / count(*), 6) AS ndcg10, round(CAST(sum(CAST(mrr AS DECIMAL(20, 12))) AS DOUBLE) / count(*), 6) AS mrr, count(*) AS n FROM exact GROUP BY GROUPING SETS ((length(query)), ())",
     "nearest_rank_percentile": "SELECT source, n_chars AS value FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE r = greatest(1, ceil(0.95::DOUBLE * n))",
     "artifact_freshness": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN CASE WHEN md5(url) = md5(html) THEN 'fresh' ELSE 'stale' END ELSE 'missing' END AS state FROM pages",
     "validate_ids": "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'empty' WHEN 2 THEN 'missing' ELSE 'format' END AS issue FROM supplier WHERE s_suppkey % 3 <> 1 OR NOT regexp_matches(s_name, '^Supplier#[0-9]*[02468]$')",

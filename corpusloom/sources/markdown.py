@@ -93,7 +93,9 @@ def parsed_monolith(files: DataFrame) -> DataFrame:
     """Documents of markdown files under title lines: uuid, number, name, kind, level, body, line_start, line_end, path."""
     lines = heading_lines(files).filter("segment > 0")
     title = F.min_by("text", "line")
-    rest = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: ~x["text"].rlike(TITLE)), lambda x: x["text"])
+    # A segment's first line is its title; others that look like one stand in code fences.
+    ordered = F.sort_array(F.collect_list(F.struct("line", "text")))
+    rest = F.transform(F.slice(ordered, F.lit(2), F.size(ordered)), lambda x: x["text"])
     rows = lines.groupBy("path", "segment").agg(title.alias("t"), rest.alias("rest"), F.min("line").alias("line_start"), F.max("line").alias("line_end"))
     part = lambda i: F.regexp_extract("t", TITLE, i)
     return rows.select(

@@ -78,6 +78,7 @@ def test_code_fences_hold_no_titles_and_extra_fields(spark):
     title = f"# A.1 - T [Scope]  <!-- UUID: {U.format(1)} -->"
     text = f"{title}\n\n```\n{title}\n```\nend"
     assert md.parsed_monolith(spark.createDataFrame([("p", text)], "path string, text string")).count() == 1
+    assert md.parsed_monolith(spark.createDataFrame([("p", text)], "path string, text string")).head().body == f"```\n{title}\n```\nend"
     fields = spark.range(1).select(md.extra_fields(F.lit("intro\n**One**: a\nb\n**Two**:\nc"), ["One", "Two", "Three"]).alias("m")).head().m
     assert fields == {"One": "a\nb", "Two": "c", "Three": ""}
     bad = spark.createDataFrame([("p", f"{title}\n### A.1.1 - X [Scope]  <!-- UUID: {U.format(2)} -->\n## A.1.2 - X [Nope]  <!-- UUID: {U.format(3)} -->\n# broken [Scope]")], "path string, text string")
@@ -94,8 +95,15 @@ def test_writers_and_pins(spark, atoms, tmp_path):
 
 
 def test_tree_of_a_long_chain(spark):
-    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "id long, parent long")
-    assert tr.closure(nodes).count() == 40 * 41 // 2
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 0) for i in range(150)], "id long, parent long, ord int")
+    assert tr.closure(nodes).count() == 150 * 151 // 2
+    assert tr.flattened(nodes).agg(F.max("depth")).head()[0] == 149
+
+
+@pytest.mark.parametrize("edges", [[(1, 1)], [(1, 2), (2, 3), (3, 1), (4, 1)], [(i, (i + 1) % 9) for i in range(9)]])
+def test_cycles_raise(spark, edges):
+    with pytest.raises(ValueError, match="own ancestors"):
+        tr.closure(spark.createDataFrame(edges, "id long, parent long"))
 
 
 def test_changes(spark):
@@ -112,6 +120,8 @@ def test_metrics_credit_a_unit_once(spark):
     rows = {r.query: r for r in ev.metrics(rankings, judgments).collect()}
     assert rows["q"].recall10 == pytest.approx(2 / 3, abs=1e-6) and rows["q"].mrr == 1 and 0.8 < rows["q"].ndcg10 < 1
     assert rows["e"].ndcg10 == 0 and rows["e"].recall10 == 1
+    more = {r.query: r for r in ev.exact_metrics(rankings, judgments).collect()}
+    assert more["q"].precision5 == 0.6 and more["q"].forbidden == 0 and more["e"].precision5 == 0 and more["e"].forbidden == 1
     assert ev.bootstrap([1.0] * 5) == (1.0, 1.0, 1.0)
     low, high = ev.bootstrap([0.0, 1.0] * 20)[1:]
     assert low < 0.5 < high and ev.bootstrap([0.0, 1.0] * 20) == ev.bootstrap([0.0, 1.0] * 20)

@@ -1,7 +1,12 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import fulltext as ft
 from corpusloom.operators import keyword as kw
 from corpusloom.operators import query_syntax as qs
 from corpusloom.operators import segments as sg
@@ -78,7 +83,11 @@ def test_fuzzy_only_for_unknown_long_plain_words(docs):
 def test_written_index_ranks_like_the_scan(spark, docs, tmp_path):
     kw.write_index(docs, str(tmp_path / "i"), "h1", buckets=4)
     found = kw.search_index(spark, str(tmp_path / "i"), ["apache", "license"], corpus_hash="h1")
-    assert ids(found) == [1] and kw.search_index(spark, str(tmp_path / "i"), ["apache"], corpus_hash="h2") is None
+    assert ids(found) == [1]
+    for terms in (["license"], ["apache", "license"], ["license", "version"]):
+        same = lambda df: [(r.id, r.score) for r in df.orderBy("rank").collect()]
+        assert same(kw.search_index(spark, str(tmp_path / "i"), terms)) == same(kw.search_all(docs, terms))
+    assert kw.search_index(spark, str(tmp_path / "i"), ["apache"], corpus_hash="h2") is None
 
 
 def test_interleave_promote_and_evidence(docs):
@@ -116,3 +125,97 @@ def test_excerpts_merge_and_stay_in_budget(spark):
     got = value(spark, sg.excerpts(F.lit(text), ["license", "copyright"]))
     assert "license" in got and "copyright" in got and len(got) <= 300 and "…" not in got
     assert value(spark, sg.excerpts(F.lit("abc"), ["nope"])) == "abc"
+
+
+FIELD_BOOST = {"doc_no": 5.0, "name": 3.0, "content": 1.0, "extras": 1.0, "expansion": 0.25}
+STOP = set(tx.STOP_WORDS)
+
+
+def plain_tokens(field, text):
+    """Index terms by the rules, for texts of ASCII letters, digits, dots and hyphens."""
+    if field == "doc_no":
+        return [text.strip().lower()] if text and text.strip() else []
+    out = []
+    for t in re.findall(r"[a-z0-9]+(?:[.-]+[a-z0-9]+)*", (text or "").lower()):
+        parts = [p for p in t.split("-") if p]
+        joined = "".join(parts)
+        pieces = [t] if "." in t or "-" not in t else parts + ([joined] if len(parts) <= 3 and not joined.isdigit() else [])
+        for w in pieces:
+            if "." in w or w not in STOP:
+                out.append(w)
+                if "." not in w and tx.porter_stem(w) != w:
+                    out.append(tx.porter_stem(w))
+    return out
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain_scores(rows, terms, fields):
+    tokens = {(r["id"], f): plain_tokens(f, r[f]) for r in rows for f in FIELD_BOOST}
+    vocabulary = {t for ts in tokens.values() for t in ts}
+    stats = {f: (sum(len(set(tokens[r["id"], f])) for r in rows) / len(rows)) for f in FIELD_BOOST}
+    scores = {}
+    for q in dict.fromkeys(terms):
+        weights = {}
+        for t in vocabulary:
+            longer = len(t) - len(q)
+            if t == q:
+                weights[t] = 1.0
+            elif len(q) >= 2 and t.startswith(q):
+                weights[t] = 0.375 * len(t) / (len(t) + 0.3 * longer)
+            elif q not in vocabulary and len(q) >= 4 and "." not in q and (d := edits(q, t)) <= int(0.2 * len(q) + 0.5):
+                weights[t] = 0.45 * len(t) / (len(t) + d)
+        for t, weight in weights.items():
+            for f in fields:
+                df = sum(t in tokens[r["id"], f] for r in rows)
+                for r in rows:
+                    if tf := tokens[r["id"], f].count(t):
+                        idf = math.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
+                        long = len(set(tokens[r["id"], f])) / stats[f]
+                        scores.setdefault(r["id"], {}).setdefault(q, []).append(weight * FIELD_BOOST[f] * idf * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * long))))
+    depth = {r["id"]: r["depth"] for r in rows}
+    return {d: (round(sum(sum(p) for p in by.values()) * len(by) * (1 + max(0, 4 - depth[d]) * 0.05), 5), len(by)) for d, by in scores.items()}
+
+
+@pytest.fixture(scope="module")
+def library(spark, tmp_path_factory):
+    """Documents with all five fields, their index, and their rows."""
+    rng = random.Random(3)
+    words = "compensation compensated delegate delegates off-chain offchain governance slope scope licensing license a.1.6 a.1.6.4 the of slippery relational rules vote voting voter".split()
+    rows = [{"id": i, "doc_no": f"A.1.{i}", "name": " ".join(rng.choices(words, k=3)), "content": " ".join(rng.choices(words, k=rng.randint(0, 25))), "extras": rng.choice([None, "extra vote"]), "expansion": rng.choice(["", "payment delegate"]), "depth": i % 6} for i in range(40)]
+    path = str(tmp_path_factory.mktemp("library"))
+    ft.write_index(spark.createDataFrame(rows, "id long, doc_no string, name string, content string, extras string, expansion string, depth int"), path)
+    return ft.Index(spark, path), rows
+
+
+@pytest.mark.parametrize("query", ["how are delegates compensated", "compensaton rules ", "off-chain vote", "slope", "scop", "A.1.6", "licensing vot", "delgate governance ", "a.1.1"])
+@pytest.mark.parametrize("limit", [5, 100])
+def test_index_search_matches_brute_force(library, query, limit):
+    index, rows = library
+    plain = tx.query_terms(query, trailing_prefix=True)
+    stemmed = [tx.porter_stem(t) for t in plain]
+    first = plain_scores(rows, stemmed, FIELD_BOOST)
+    order = lambda found: sorted(found, key=lambda r: (r[1], -r[2], r[0]))
+    want = order([(d, 0 if n == len(set(stemmed)) else 1, s) for d, (s, n) in first.items()])
+    if sum(t == 0 for _, t, _ in want) >= limit:
+        want = [r for r in want if r[1] == 0]
+    elif plain != stemmed:
+        want += order([(d, 2, s) for d, (s, _) in plain_scores(rows, plain, FIELD_BOOST).items() if d not in first])
+    got = [(r.id, r.tier, r.score) for r in index.search(query, limit).orderBy("rank").collect()]
+    assert [(r[0], r[1]) for r in got] == [(r[0], r[1]) for r in want[:limit]]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want[:limit]], abs=2e-5)
+
+
+def test_index_search_of_fields_among_and_nothing(library, spark):
+    index, rows = library
+    got = {r.id for r in index.search("vote", fields=("extras",)).collect()}
+    assert got == {r["id"] for r in rows if r["extras"]}
+    assert {r.id for r in index.search("vote", among=spark.createDataFrame([(3,), (4,)], "id long")).collect()} <= {3, 4}
+    assert index.search("of the ").count() == 0 and [r.id for r in index.jump(" a.1.7 ").collect()] == [7]
