@@ -16,9 +16,13 @@ from corpusloom.llm.common import arrow_batches, documents, ship, worker_cache
 
 #: Texts longer than this many code points are split.
 PIECE = 200_000
+# What the pattern's \\s stands for in the library (Unicode's White_Space), which Python's is not.
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: No match of the pattern holds a blank after a non-blank: before such a space a text may be cut.
 #: The left side is a non-blank for the library too, as Python counts more characters as blanks.
 SAFE = re.compile(r"(?<=\S) ")
+#: Runs of blanks that are cut out: the library's matcher recurses over each of a run, and overflows near a million.
+LONG_RUN = re.compile(BLANK + "{20000,}")
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
@@ -62,7 +66,17 @@ def safe_pieces(text: str, size: int = PIECE) -> list[str]:
 def encode_text(encoding, text: str) -> list[int]:
     if len(text) <= PIECE:
         return encoding.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in encoding.encode_ordinary(piece)]
+    out, start = [], 0
+    for run in LONG_RUN.finditer(text):
+        # A run that a non-blank follows is one match but for its last blank, one at the end is one match whole.
+        end = run.end() - (run.end() < len(text))
+        for piece in safe_pieces(text[start : run.start()]):
+            out += encoding.encode_ordinary(piece)
+        out += encoding._encode_single_piece(text[run.start() : end])
+        start = end
+    for piece in safe_pieces(text[start:]):
+        out += encoding.encode_ordinary(piece)
+    return out
 
 
 def decode_ids(encoding, ids: list[int]) -> bytes:
@@ -75,7 +89,7 @@ def encode(docs: DataFrame, ranks: str | None = None, with_ids: bool = True) ->
 
     Reads doc_id and text.  Returns a row a document: doc_id, n_tokens, ids (null unless ``with_ids``),
     ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 (of the decoded bytes).  A null text
-    counts as empty and has no tokens.  Special-token strings are ordinary text.  Repeated rows give
+    counts as empty and has no tokens.  Runs of blanks may have any length.  Special-token strings are ordinary text.  Repeated rows give
     repeated rows, an empty table an empty result.
     """
     ship(docs.sparkSession)
