@@ -16,19 +16,19 @@ executor or a store without local paths is no concern.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, arrow_schema, documents, range_buckets, shared_dir, ship, shuffle_partitions, worker_cache
+from corpusloom.llm.common import arrow_batches, arrow_schema, documents, range_buckets, new_place, ship, shuffle_partitions, worker_cache
 
 MAGIC = b"DAC1"
 BLOCK = 64
-#: A segment is closed once it holds this many ids; a longer document has a segment of its own.
+#: A segment is closed once it holds this many ids; a document is never divided.
 SEGMENT_IDS = 1 << 20
 #: Words whose ids a worker keeps; when full, the store starts anew.
 KEPT_WORDS = 400_000
@@ -39,6 +39,19 @@ PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others in turn from U+0100.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+# The parts of a tokenizer file with which a text's ids are those of its words.
+BY_WORD = {
+    "truncation": None, "padding": None, "post_processor": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+BY_WORD_MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+    "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+}
 #: Appended to each document.
 END_ID = 1
 
@@ -112,6 +125,25 @@ class Segment:
             i = int(ranks[block]) + before
         return value
 
+    def at(self, places):
+        """The ids at many places, each found as by ``[]``, a level at a time for all of them."""
+        import numpy as np
+
+        i = np.asarray(places, dtype=np.int64)
+        out, on = np.zeros(len(i), np.uint64), np.arange(len(i))
+        for level, (chunks, bits, ranks) in enumerate(self.levels):
+            out[on] |= chunks[i].astype(np.uint64) << np.uint64(8 * level)
+            if bits is None:
+                break
+            more = (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+            on, i = on[more], i[more]
+            block = i // (8 * BLOCK)
+            # Set bits of the block's bytes before the byte, and of the byte below the bit.
+            within = bits.reshape(-1, BLOCK)[block] * (np.arange(BLOCK) < ((i >> 3) % BLOCK)[:, None])
+            below = bits[i >> 3] & ((1 << (i & 7)) - 1).astype(np.uint8)
+            i = ranks[block].astype(np.int64) + np.bitwise_count(within).sum(axis=1, dtype=np.int64) + np.bitwise_count(below)
+        return out
+
     def all(self):
         """Every id, level by level."""
         import numpy as np
@@ -140,7 +172,8 @@ class WordEncoder:
 
     The file's pre-tokenizer drops white space and its normalizer works within words, so that a text's ids
     are its words' ids in order, and those of a word are its pieces' ids.  Words are split at ASCII blanks.
-    Texts that hold an added token, in any case of letters, go through the library whole.
+    Texts that hold an added token, in any case of letters, go through the library whole, as do all texts
+    with a file whose parts are not those that this is true of.
     """
 
     def __init__(self, path: str):
@@ -149,6 +182,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        model = {k: v for k, v in parts["model"].items() if k not in ("vocab", "merges")}
+        self.by_word = all(parts.get(k) == v for k, v in BY_WORD.items()) and model == BY_WORD_MODEL
         self.model = self.tokenizer.model
 
     def _ids(self, text: bytes) -> bytes:
@@ -176,6 +213,8 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         raw = text.encode()
+        if not self.by_word:
+            return self._ids(raw)
         low = raw.lower()
         if any(t in low for t in self.added):
             return self._ids(raw)
@@ -258,7 +297,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
         if held:
             yield closed()
 
-    dealt.mapInArrow(build, SEGMENT).write.mode("overwrite").parquet(path)
+    # Not compressed: a code is read where it lies.
+    dealt.mapInArrow(build, SEGMENT).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -270,9 +310,16 @@ def read(spark, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENT).parquet(path)
 
     def work(buckets, firsts, doc_ids, counts, codes):
+        import numpy as np
+
         out = [[], [], [], [], []]
         for bucket, first, docs, sizes, blob in zip(buckets, firsts, doc_ids, counts, codes, strict=True):
-            ids, at = Segment(blob).all().astype("<u4"), 0
+            packed = Segment(blob)
+            ids, at = packed.all().astype("<u4"), 0
+            # Each document's last id once more, by the rank directories alone.
+            ends = np.cumsum(sizes) - 1
+            if not np.array_equal(packed.at(ends), ids[ends]):
+                raise ValueError("a segment's rank directories contradict its codes")
             for doc, size in zip(docs, sizes, strict=True):
                 for column, v in zip(out, (doc, bucket, first + at, size, zlib.crc32(ids[at : at + size])), strict=True):
                     column.append(v)
@@ -296,6 +343,6 @@ def token_at(segments: DataFrame, bucket: int, place: int) -> int:
 
 
 def query(spark, sf_dir):
-    path = f"{shared_dir(spark)}/corpusloom/token-files-{uuid.uuid4().hex}"
+    path = new_place(spark, "token-files")
     write(documents(spark, sf_dir), path)
     return read(spark, path)

@@ -35,13 +35,12 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tf.default_tokenizer())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
 
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_token_files_match_the_library(spark, odd, tmp_path, which):
-    docs = odd.filter("length(text) < 100000 or text is null") if which == "odd" else documents(spark, SF)
+    docs = odd if which == "odd" else documents(spark, SF)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     want = sorted(((d if d is not None else -1), len(i), crc(i)) for (d, _), i in zip(rows, plain_ids([t for _, t in rows]), strict=True))
@@ -64,6 +63,30 @@ def test_words_encode_like_texts(text):
 ENCODER: dict = {}
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tf.default_tokenizer()) as f:
+        parts = json.load(f)
+    parts["normalizer"] = None  # upper case stays
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(parts, f)
+    text = "Hello World don't 12 STOP"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    got = tf.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).head()
+    assert np.frombuffer(bytes(got.ids), "<u4").tolist() == [*want, 1]
+
+
+def test_places_are_read_through_the_rank_directories():
+    ids = np.random.default_rng(2).choice([3, 300, 70_000, 20_000_000], 9_000)
+    seg = tf.Segment(tf.pack(ids))
+    places = np.random.default_rng(3).integers(0, 9_000, 500)
+    assert seg.at(places).tolist() == ids[places].tolist() and seg.at(np.zeros(0, np.int64)).tolist() == []
+
+
 def test_small_segments_and_single_token(spark, tmp_path, monkeypatch):
     docs = documents(spark, SF)
     monkeypatch.setattr(tf, "SEGMENT_IDS", 500)
@@ -89,6 +112,23 @@ def test_byte_bpe_matches_the_library(spark, odd, which):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bb.encode(docs).collect()) == want
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \n"])
+@pytest.mark.parametrize("text", ["{}x", "a{}", "{}", "a b{}\u00e9 c{} 1", "a{} "])
+def test_long_runs_of_blanks_encode_like_short_ones(blank, text, monkeypatch):
+    enc = bb.load_encoding(bb.default_ranks())
+    short = text.format(*[blank * 30_000] * 2)
+    want = enc.encode_ordinary(short)
+    monkeypatch.setattr(bb, "PIECE", 1000)
+    assert bb.encode_text(enc, short) == want
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_a_million_blanks(blank):
+    enc = bb.load_encoding(bb.default_ranks())
+    text = blank * 1_200_000 + "x"
+    assert enc.decode_bytes(bb.encode_text(enc, text)) == text.encode()
+
+
 @given(st.text(alphabet="ab '\n\t  é1!\x1c", max_size=300), st.integers(1, 20))
 @settings(max_examples=200, deadline=None)
 def test_safe_pieces_encode_like_the_whole(text, size):
