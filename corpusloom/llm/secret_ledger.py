@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, documents, shared_dir, ship, staged
+from corpusloom.llm.common import arrow_batches, documents, hashed_side, new_place, ship, staged
 
 # The base kinds, in the order that breaks ties, and the shortest match that counts.
 # Letters of the key words stand for either case, in ASCII alone.
@@ -26,7 +25,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Further kinds: private key headers, code forge tokens and web tokens.
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
-WEB = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+WEB_CHAIN = re.compile(r"[A-Za-z0-9_.-]+")
+WEB_SIGN, WEB_REST = "eyJ", 8
 #: Raise this with every change of the rules: pairs of the older version no longer count as scanned.
 RULE_VERSION = "1"
 
@@ -44,12 +44,34 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return found + [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text)]
 
 
+def web_spans(text: str) -> list[tuple[int, int]]:
+    """Web tokens, leftmost and non-overlapping: two parts that start with the sign and go on for at least so many characters, and a third.
+
+    The first may start within a run of such characters.  Runs joined by dots are found first, so that the time is linear.
+    """
+    out = []
+    for chain in WEB_CHAIN.finditer(text):
+        parts, at = chain[0].split("."), chain.start()
+        starts = [at]
+        for p in parts:
+            starts.append(starts[-1] + len(p) + 1)
+        i = 0
+        while i + 2 < len(parts):
+            sign = parts[i].find(WEB_SIGN)
+            if 0 <= sign <= len(parts[i]) - len(WEB_SIGN) - WEB_REST and parts[i + 1].startswith(WEB_SIGN) and len(parts[i + 1]) >= len(WEB_SIGN) + WEB_REST and parts[i + 2]:
+                out.append((starts[i] + sign, starts[i + 3] - 1))
+                i += 3
+            else:
+                i += 1
+    return out
+
+
 def more_spans(text: str) -> list[tuple[int, int, str, int]]:
     out = []
-    for order, (kind, sign, rule) in enumerate((("pem", "-----BEGIN", PEM), ("forge", "gh", FORGE), ("web", "eyJ", WEB)), 3):
+    for order, (kind, sign, rule) in enumerate((("pem", "-----BEGIN", PEM), ("forge", "gh", FORGE)), 3):
         if sign in text:
             out += [(m.start(), order, kind, m.end()) for m in rule.finditer(text)]
-    return out
+    return out + ([(start, 5, "web", end) for start, end in web_spans(text)] if WEB_SIGN in text else [])
 
 
 def joined(spans: list[tuple[int, int, str, int]]) -> str:
@@ -78,6 +100,10 @@ class BlobLedger:
         spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(path)
 
     def findings(self, version: str) -> DataFrame:
+        """One row a blob, also where runs at the same time have scanned it twice."""
+        return self.recorded(version).dropDuplicates(["blob"])
+
+    def recorded(self, version: str) -> DataFrame:
         return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path).filter(F.col("rule_version") == version)
 
     def append(self, rows: DataFrame) -> None:
@@ -96,10 +122,13 @@ def scan(docs: DataFrame, ledger: BlobLedger, version: str = RULE_VERSION) -> Da
     rows = staged(docs.select("doc_id", blob_address(F.col("text")).alias("blob")), "ledger-blobs")
     # One document speaks for each blob; partial aggregation keeps hot blobs out of single tasks.
     chosen = rows.groupBy("blob").agg(F.min("doc_id").alias("_chosen"))
-    unseen = chosen.join(ledger.findings(version).select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob")
+    unseen = staged(chosen.join(ledger.recorded(version).select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob"), "ledger-unseen")
+    n = unseen.count()
+    if not n:
+        return found_again(rows, ledger, version)
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_address(F.col("text")))
     # Only the texts of chosen documents survive; the side of keys is the one that is hashed.
-    texts = held.join(unseen.hint("shuffle_hash"), held["doc_id"].eqNullSafe(unseen["_chosen"]) & (held["blob"] == unseen["_blob"]), "left_semi")
+    texts = held.join(hashed_side(unseen, n), held["doc_id"].eqNullSafe(unseen["_chosen"]) & (held["blob"] == unseen["_blob"]), "left_semi")
 
     def work(blobs, bodies):
         out = [scan_text(t) for t in bodies]
@@ -107,10 +136,15 @@ def scan(docs: DataFrame, ledger: BlobLedger, version: str = RULE_VERSION) -> Da
 
     found = texts.select("blob", "text").mapInArrow(arrow_batches(work, LEDGER_SCHEMA), LEDGER_SCHEMA)
     ledger.append(found.dropDuplicates(["blob"]))
+    return found_again(rows, ledger, version)
+
+
+def found_again(rows: DataFrame, ledger: BlobLedger, version: str) -> DataFrame:
+    """The ledger's findings of the blobs of ``rows`` (doc_id, blob), a row a row."""
     known = ledger.findings(version).drop("rule_version")
     return rows.join(known, "blob").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def query(spark, sf_dir):
-    ledger = BlobLedger(spark, f"{shared_dir(spark)}/corpusloom/ledger-{uuid.uuid4().hex}")
+    ledger = BlobLedger(spark, new_place(spark, "ledger"))
     return scan(documents(spark, sf_dir), ledger)

@@ -195,3 +195,24 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path, none):
 def test_further_kinds_add_spans():
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36
     assert sl.scan_text(text)[4] == "pem:0:31,forge:32:72,hex:36:72"
+
+
+def test_web_tokens_are_those_of_the_pattern_in_linear_time():
+    import time
+
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices(["eyJ", "a", "bcdefgh", "12345678", ".", ".", " ", "-_", "é"], k=rng.randint(1, 30)))
+        assert sl.web_spans(text) == [m.span() for m in pattern.finditer(text)]
+    began = time.time()
+    assert sl.web_spans("eyJ" * 1_000_000) == [] and sl.web_spans("eyJeyJeyJeyJ." * 100_000)
+    assert time.time() - began < 5
+
+
+def test_blobs_recorded_twice_are_reported_once(spark, tmp_path):
+    ledger = sl.BlobLedger(spark, str(tmp_path / "l"))
+    docs = spark.createDataFrame([(1, "token=abcdefg"), (2, "x")], "doc_id long, text string")
+    assert sl.scan(docs, ledger).count() == 2
+    ledger.append(ledger.recorded("1"))
+    assert sl.scan(docs, ledger).count() == 2 and ledger.findings("1").count() == 2
