@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, documents, shuffle_key, ship, staged, unit
+from corpusloom.llm.common import arrow_batches, documents, shuffle_key, ship, staged, unit, unused
 
 TOKEN = re.compile(r"\w+")
 #: Lengths of the word beginnings that count as tokens too.
@@ -320,12 +320,13 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with the columns of ``docs``."""
+    """The documents that are not predicted toxic, with the columns of ``docs``, whatever their names; repeated rows stay repeated."""
     model = fit(docs, labels)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    marked = docs.withColumn("_toxicity", text_score(sent)(F.coalesce("text", F.lit(""))))
-    return marked.filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+    mark = unused(docs, "_toxicity")
+    marked = docs.withColumn(mark, text_score(sent)(F.coalesce("text", F.lit(""))))
+    return marked.filter(F.col(mark) < 0.5).select(*docs.columns)
 
 
 def text_score(sent):

@@ -121,6 +121,7 @@ def test_toxicity_of_odd_rows_and_missing_labels(spark, odd, none, toxic_model):
     assert {round(r.score, 6) for r in tx.score(odd, model).collect()} == {0.5}
     one_class = spark.createDataFrame([(i, 0) for i in range(60)], "doc_id long, toxic int")
     assert all(r.score < 0.5 for r in tx.score(odd, tx.fit(odd, one_class)).collect())
+    assert sorted(map(str, tx.clean_documents(odd, one_class).collect())) == sorted(map(str, odd.collect()))
     assert tx.clean_documents(odd, one_class).columns == odd.columns and tx.clean_documents(odd, one_class).count() == odd.count()
 
 
