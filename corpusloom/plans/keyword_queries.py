@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import fulltext as ft
 from corpusloom.operators import keyword as kw
 from corpusloom.plans import sqltext as sq
 from corpusloom.session import table
+from corpusloom.staging import new_place
 
 TERMS = ["apache", "license"]
 LOOSE = ["apache", "general", "public"]
@@ -31,6 +33,7 @@ QUERIES = {
     "keyword_fuzzy_guarded": lambda s, d: kw.expand_fuzzy(kw.vocabulary(flat(s, d)), "licence").select("term", "df", "distance", F.round("weight", 6).alias("weight")),
     "promoted_target": lambda s, d: _promoted(s, d),
     "abbreviation_companion": lambda s, d: kw.expanded_tier(flat(s, d), ["gpl"], {"gpl": ["general", "public", "license"]}, 20),
+    "index_search": lambda s, d: _index_search(s, d),
     "stemmed_search": lambda s, d: _stemmed(s, d),
     "phrase_exclude_filter": lambda s, d: flat(s, d).filter(kw.phrase_filter(F.col("content"), ["apache license"], ["Version 2"], ["warranty"])).select("id", "kind"),
     "browse_filter_only": lambda s, d: _browse(s, d),
@@ -67,6 +70,13 @@ def _promoted(s, d):
     return kw.promoted(ranked, last, 10)
 
 
+def _index_search(s, d):
+    """A search with stems, a prefix and typos from an index that is written first; the stemmer has no SQL form."""
+    path = new_place(s, "index")
+    ft.write_index(flat(s, d), path)
+    return ft.Index(s, path).search("licensing of publik software", 50)
+
+
 def _stemmed(s, d):
     """Documents that hold a word with the stem of the query's word; stems are made once a distinct word."""
     words = flat(s, d).select("id", F.explode(F.array_distinct(tx.index_terms(F.col("content")))).alias("term"))
