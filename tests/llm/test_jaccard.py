@@ -81,3 +81,19 @@ def test_pairs_that_fingerprints_misjudge(spark):
     kept = {r.doc_id for r in sh.kept_documents(docs).collect()}
     # 1/177 and 6/145 have 0.83 and lie over 6 bits apart; 155/192 have 0.76 and lie within.
     assert not {177, 145} & kept and {1, 6, 155, 192} <= kept
+
+
+@pytest.mark.parametrize("each", [1, 256])
+def test_shingles_are_counted_over_all_documents(spark, odd, none, each, monkeypatch):
+    monkeypatch.setattr(jaccard, "EACH_PART", each)  # 1: nearly a block a document
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    sets = [(d, plain_set(t)) for d, t in rows]
+    held = {}
+    for _, s in sets:
+        for x in s:
+            held[x] = held.get(x, 0) + 1
+    found = jaccard.prefixes(odd, 5, 0.8).collect()
+    least = lambda n: n - -(-4 * n // 5) + 1 if n else 0
+    want = [(d, len(s), own := sum(held[x] == 1 for x in s), max(0, least(len(s)) - own)) for d, s in sets]
+    assert sorted((str(r.doc_id), r.n, r.skip, len(r.prefix)) for r in found) == sorted((str(d), *x) for d, *x in want)
+    assert jaccard.prefixes(none, 5, 0.8).collect() == []
