@@ -24,10 +24,11 @@ from corpusloom.llm.common import arrow_batches, documents, shuffle_key, ship, s
 TOKEN = re.compile(r"\w+")
 #: Lengths of the word beginnings that count as tokens too.
 STEMS = (4, 5, 6, 7, 8)
-#: Bounds of the fit: labelled documents a class (drawn by hash), and tokens of the model.
+#: Bounds of the fit: labelled documents a class (drawn by hash).  The telling tokens of so many documents do not grow with
+#: the corpus; a fit that finds more of them than this raises, as the model is broadcast.
 SAMPLE_TOXIC = 10_000
 SAMPLE_CLEAN = 15_000
-MODEL_TOKENS = 50_000
+MOST_TOKENS = 500_000
 #: Pseudo-counts of the prior as a whole and at least for each token, documents that a token has to occur in, and
 #: standard errors that make it count.
 PRIOR = 50.0
@@ -143,7 +144,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def token_weights(sample: DataFrame) -> dict[str, tuple[float, float]]:
-    """Log-odds and z of the most telling tokens."""
+    """Log-odds and z of all telling tokens."""
     schema = "token string, y1 long, y0 long, d1 long, d0 long"
 
     def count(batches):
@@ -187,24 +188,25 @@ def token_weights(sample: DataFrame) -> dict[str, tuple[float, float]]:
     odds, _ = log_odds("y1", "y0", sums[0], sums[1])
     _, z = log_odds("d1", "d0", sums[2], sums[3])
     telling = counts.filter(F.col("d1") + F.col("d0") >= LEAST_DOCS).select("token", odds.alias("odds"), z.alias("z"))
-    telling = telling.filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(MODEL_TOKENS)
-    return {r.token: (r.odds, r.z) for r in telling.collect()}
+    telling = telling.filter(F.abs("z") >= LEAST_Z).limit(MOST_TOKENS + 1).collect()
+    if len(telling) > MOST_TOKENS:
+        raise ValueError(f"more than {MOST_TOKENS} telling tokens: the model would be too large to broadcast")
+    return {r.token: (r.odds, r.z) for r in sorted(telling)}
 
 
-def fit_chance(model: Model, clean: list[tuple[int, list[float], list[float]]]) -> None:
-    """lambda and K of the segment law from clean texts: (words, weights found, segment scores) each.
+def fit_chance(model: Model, found: list[tuple[float, int]], bests: list[tuple[int, float]]) -> None:
+    """lambda and K of the segment law from clean texts: how often each weight occurs, and each text's words and best score.
 
     lambda is the positive root of mean(exp(lambda * score)) = 1 over all tokens; given it, n * exp(-lambda * best) is
     exponential with rate K, whose estimate is one over its mean.
     """
-    words = sum(n for n, _, _ in clean)
-    found = [w for _, ws, _ in clean for w in ws]
-    if not words or not any(w > DRIFT for w in found):
+    words, hits = sum(n for n, _ in bests), sum(k for _, k in found)
+    if not words or not any(w > DRIFT for w, _ in found):
         return
 
     def excess(x: float) -> float:
-        hit = sum(math.exp(min(700.0, x * (w - DRIFT))) for w in found)
-        return (hit + (words - len(found)) * math.exp(-x * DRIFT)) / words - 1
+        hit = sum(k * math.exp(min(700.0, x * (w - DRIFT))) for w, k in found)
+        return (hit + (words - hits) * math.exp(-x * DRIFT)) / words - 1
 
     low, high = 1e-3, 1e-3
     while excess(high) < 0 and high < 50:
@@ -213,15 +215,15 @@ def fit_chance(model: Model, clean: list[tuple[int, list[float], list[float]]])
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
     model.scale = max(high, 0.05)
-    law = [n * math.exp(-model.scale * max(scores, default=0.0)) for n, _, scores in clean if n]
+    law = [n * math.exp(-model.scale * best) for n, best in bests if n]
     model.size = len(law) / sum(law) if law else 1.0
 
 
-def fit_curve(model: Model, rows: list[tuple[int, int, list[float]]]) -> None:
-    """The logistic curve over (toxic, words, segment scores), by Newton steps with a small ridge."""
+def fit_curve(model: Model, rows: list[tuple[int, float, float]]) -> None:
+    """The logistic curve over (toxic, best passage, sum of passages), by Newton steps with a small ridge."""
     import numpy as np
 
-    x = np.array([[1.0, *evidence(model, n, scores)] for _, n, scores in rows])
+    x = np.array([[1.0, best, total] for _, best, total in rows])
     y = np.array([float(t) for t, _, _ in rows])
     w = np.zeros(3)
     ridge = np.diag([1e-6, 1e-2, 1e-2])
@@ -253,16 +255,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 column.append(v)
         return out
 
-    # A row a sampled document: bounded, and sorted for the same sums in every run.
-    rows = sample.select("text", "toxic").mapInArrow(arrow_batches(work, schema), schema).collect()
-    rows.sort(key=lambda r: (r.toxic, r.n, r.scores, r.found))
+    rows = staged(sample.select("text", "toxic").mapInArrow(arrow_batches(work, schema), schema), "toxicity-passages")
+    # To the driver: three numbers a sampled document, and a row a weight of the model; sorted for the same sums in every run.
+    bests = sorted(map(tuple, rows.select("toxic", "n", F.coalesce(F.array_max("scores"), F.lit(0.0))).collect()))
     model = Model(weights)
-    if len({r.toxic for r in rows}) < 2:
-        share = (sum(r.toxic for r in rows) + 0.5) / (len(rows) + 1)
+    if len({t for t, _, _ in bests}) < 2:
+        share = (sum(t for t, _, _ in bests) + 0.5) / (len(bests) + 1)
         model.curve = (math.log(share / (1 - share)), 0.0, 0.0)
         return model
-    fit_chance(model, [(r.n, r.found, r.scores) for r in rows if not r.toxic])
-    fit_curve(model, [(r.toxic, r.n, r.scores) for r in rows])
+    found = rows.filter("toxic = 0").select(F.explode("found").alias("weight")).groupBy("weight").agg(F.count(F.lit(1)))
+    fit_chance(model, sorted(map(tuple, found.collect())), [(n, best) for t, n, best in bests if not t])
+    law = Model({}, model.scale, model.size)
+    schema = "toxic int, best double, total double"
+
+    def judge(toxic, n, scores):
+        return toxic, *zip(*(evidence(law, *row) for row in zip(n, scores, strict=True)), strict=True)
+
+    judged = rows.select("toxic", "n", "scores").mapInArrow(arrow_batches(judge, schema), schema)
+    fit_curve(model, sorted(map(tuple, judged.collect())))
     return model
 
 

@@ -125,6 +125,42 @@ def test_toxicity_of_odd_rows_and_missing_labels(spark, odd, none, toxic_model):
     assert tx.clean_documents(odd, one_class).columns == odd.columns and tx.clean_documents(odd, one_class).count() == odd.count()
 
 
+def test_fit_matches_an_independent_version(spark):
+    import math
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["vile", "grim"] * (i % 3 == 0) + [f"w{k}" for k in range(40)], k=rng.randint(20, 60)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = tx.fit(docs, labels)
+    learned = [(t.lower().split(), i % 3 == 0) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    y, d = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
+    for words, toxic in learned:
+        own = Counter(t for w in words for t in [w, *(w[:k] + "*" for k in tx.STEMS if len(w) >= k)])
+        y[toxic].update(own)
+        d[toxic].update(own.keys())
+
+    def odds(one, zero, token):
+        n1, n0 = one.total(), zero.total()
+        prior = tx.PRIOR * (one[token] + zero[token]) / (n1 + n0) + tx.LEAST_PRIOR
+        a1, a0 = one[token] + prior, zero[token] + prior
+        x = math.log(a1 / (n1 + tx.PRIOR - a1)) - math.log(a0 / (n0 + tx.PRIOR - a0))
+        return x, x / math.sqrt(1 / a1 + 1 / a0)
+
+    every = {t: (odds(y[True], y[False], t)[0], odds(d[True], d[False], t)[1]) for t in y[True] | y[False] if d[True][t] + d[False][t] >= tx.LEAST_DOCS}
+    telling = {t: v for t, v in every.items() if abs(v[1]) >= tx.LEAST_Z}
+    assert "vile" in model.weights and set(model.weights) == set(telling)
+    assert all(model.weights[t] == pytest.approx(v) for t, v in telling.items())
+    # K is one over the mean of n * exp(-lambda * best) over the clean texts that were learned from.
+    law = []
+    for words, toxic in learned:
+        if not toxic:
+            n, hits = tx.hits_of(" ".join(words), lambda ws: [tx.weight_of(telling, w) for w in ws])
+            law.append(n * math.exp(-model.scale * max((s for s, _, _ in tx.maximal_segments(hits)), default=0.0)))
+    if model.size != 1.0:
+        assert model.size == pytest.approx(len(law) / sum(law))
+
+
 def test_passages_name_their_place(spark, toxic_model):
     text = "the of and " * 30 + "idiot moron scum idiot " + "the of and " * 30
     docs = spark.createDataFrame([(1, text), (2, "the of and " * 60)], "doc_id long, text string")
