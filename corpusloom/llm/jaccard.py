@@ -1,4 +1,5 @@
-"""Near copies by exact Jaccard similarity of word-shingle sets: rarest-first prefixes, pivots, verified links, components."""
+"""The exact Jaccard similarity of word-shingle sets behind the SimHash near-dedup: a check of its pairs, and the pairs that
+fingerprints miss, by rarest-first prefixes and pivots."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ROWS_AT_ONCE, arrow_batches, arrow_schema, ship, shuffle_partitions, staged
-from corpusloom.llm.components import connected_components, with_nodes
+from corpusloom.llm.components import connected_components
 
 SEED = 42
 THRESHOLD = 0.8
@@ -46,13 +47,17 @@ def body_of(shingles) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: What a block lists of its documents.
+DOCUMENTS = "doc_ids array<long>, bodies array<long>, sizes array<int>, fps array<long>"
+
+
 def blocks(docs: DataFrame, words: int, parts: int) -> DataFrame:
     """The shingles of the documents, a block of documents at a time.
 
     A row a block and part has the low 32 bits of the shingles of that part and the place of each one's document in the
-    block.  A row a block, its part below zero, has the documents: doc_id, body and number of shingles.
+    block.  A row a block, its part below zero, has the documents: doc_id, body, number of shingles and SimHash.
     """
-    schema = "block long, part int, keys binary, places binary, doc_ids array<long>, bodies array<long>, sizes array<int>"
+    schema = f"block long, part int, keys binary, places binary, {DOCUMENTS}"
     target = arrow_schema(schema)
     most = min(MOST_SHINGLES, EACH_PART * parts)
     rows_at_once = ROWS_AT_ONCE
@@ -63,11 +68,14 @@ def blocks(docs: DataFrame, words: int, parts: int) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
+        from corpusloom.llm.simhash import fingerprint_of
+
         task, made = TaskContext.get().partitionId(), 0
 
         def block(ids, sets):
             sizes = [len(s) for s in sets]
             bodies = [body_of(s) for s in sets]
+            fps = np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
             every = np.concatenate(sets)
             # Named by place and content: a task that runs again with other rows leaves blocks that lack parts, which raises.
             name = int(np.array([xxhash.xxh64_intdigest(repr((task, made, ids, bodies)), SEED)], np.uint64).view(np.int64)[0])
@@ -86,6 +94,7 @@ def blocks(docs: DataFrame, words: int, parts: int) -> DataFrame:
                 [*none, ids],
                 [*none, bodies],
                 [*none, sizes],
+                [*none, fps],
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
@@ -123,9 +132,9 @@ def shared_shingles(dealt: DataFrame) -> DataFrame:
 
     ``total`` is the number of shingles before.  A part of the shingles is one group: hashes deal them evenly.
     """
-    schema = "block long, part int, keys binary, places binary, counts binary, total int, doc_ids array<long>, bodies array<long>, sizes array<int>"
+    schema = f"block long, part int, keys binary, places binary, counts binary, total int, {DOCUMENTS}"
     target = arrow_schema(schema)
-    dealt = dealt.select("part", "block", "keys", "places", "doc_ids", "bodies", "sizes")
+    dealt = dealt.select("part", "block", "keys", "places", "doc_ids", "bodies", "sizes", "fps")
     dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "part").sortWithinPartitions("part")
 
     def work(batches):
@@ -147,14 +156,14 @@ def shared_shingles(dealt: DataFrame) -> DataFrame:
                 count = n[start : start + len(key)]
                 start += len(key)
                 some = count > 1
-                out.append((block, part, key[some].tobytes(), np.frombuffer(places, np.uint16)[some].tobytes(), count[some].tobytes(), len(key), None, None, None))
+                out.append((block, part, key[some].tobytes(), np.frombuffer(places, np.uint16)[some].tobytes(), count[some].tobytes(), len(key), None, None, None, None))
             yield batch(out)
 
     return dealt.mapInArrow(work, schema)
 
 
 def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_id, body, n, skip, prefix): a text's set by name, its size and its rarest n - ceil(threshold * n) + 1 shingles, rarest first.
+    """(doc_id, body, n, fp, skip, prefix): a text's set by name, its size, SimHash and rarest n - ceil(threshold * n) + 1 shingles, rarest first.
 
     The first ``skip`` of the set are in no other document and are not listed.  Documents are counted exactly, all of them; a
     shingle is named by its part and 32 bits, and names that fall together only add candidates.
@@ -164,7 +173,7 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     parts = min(max(SPREAD * shuffle_partitions(spark), size // PART), 1 << 30)
     shared = shared_shingles(blocks(docs, words, parts)).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
-    schema = "doc_id long, body long, n int, skip int, prefix array<long>"
+    schema = "doc_id long, body long, n int, fp long, skip int, prefix array<long>"
     target = arrow_schema(schema)
 
     def work(batches):
@@ -178,7 +187,7 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
             rows = [r for r in rows if r[1] >= 0]
             if len(documents) != 1 or sum(documents[0][2]) != sum(r[5] for r in rows):
                 raise RuntimeError("a block of documents came back in parts: the input changed between two runs of a task")
-            doc_ids, bodies, sizes = documents[0]
+            doc_ids, bodies, sizes, fps = documents[0]
             keys = [np.frombuffer(r[2], np.uint32).astype(np.int64) | r[1] << 32 for r in rows]
             s, place, count = (
                 np.concatenate([*found, np.zeros(0, kind)])
@@ -191,7 +200,7 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 length = n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
                 skips.append(n - (b - a))
                 out.append(s[a : a + max(0, length - skips[-1])])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((doc_ids, bodies, sizes, skips, out), target, strict=True)], schema=target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((doc_ids, bodies, sizes, fps, skips, out), target, strict=True)], schema=target)
 
     return shared.mapInArrow(work, schema)
 
@@ -362,18 +371,32 @@ def unlinked_pairs(placed: DataFrame) -> tuple[int, int]:
     return int(found[0] or 0), int(found[1] or 0)
 
 
-def node_labels(docs: DataFrame, bodies: DataFrame, words: int, threshold: float) -> DataFrame:
+def checked(pairs: DataFrame, docs: DataFrame, bodies: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The (u, v) whose whole sets, made anew from the texts, have that Jaccard similarity."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = staged(shingle_sets(docs, bodies, nodes, words), "jaccard-sets")
+    return staged(verified(pairs, sets, threshold), "jaccard-links")
+
+
+def node_labels(docs: DataFrame, bodies: DataFrame, links: DataFrame, words: int, threshold: float) -> DataFrame:
     """(node, label) of the ``bodies`` (body, first, node, n, skip, prefix) that pairs at the threshold connect; label is the smallest node.
 
-    All such pairs share a prefix shingle.  A group's first members are pivots and are held against the rest;
-    what they connect leaves later rounds, so that a large group of copies is not listed pair by pair.
+    ``links`` (u, v) are pairs known to have the threshold; all others are found here.  They share a prefix shingle.  A
+    group's first members are pivots and are held against the rest; what is connected already brings no
+    pairs, so that a large group of copies is not listed pair by pair.
     """
     postings = staged(shared_postings(bodies), "jaccard-postings")
     shared = staged(shared_prefixes(postings), "jaccard-shared")
-    links, low = None, 0
-    labels = postings.select("node", F.col("node").alias("label")).limit(0)
-    placed = postings.withColumn("label", F.col("node"))
-    pairs, n = unlinked_pairs(placed)
+
+    def labelled(links):
+        # A node has one row here: the join makes no more rows than there are nodes, however often they share shingles.
+        labels = connected_components(links)
+        named = shared.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.inline("some"))
+        placed = staged(named.select("s", "node", "n", "at", "label"), "jaccard-placed")
+        return labels, placed, *unlinked_pairs(placed)
+
+    labels, placed, pairs, n = labelled(links)
+    low = 0
     for high in (*PIVOTS, None):
         if not pairs:
             break
@@ -381,37 +404,14 @@ def node_labels(docs: DataFrame, bodies: DataFrame, words: int, threshold: float
             high = None
         found = staged(possible(candidates(placed, low, high, threshold), shared, threshold), "jaccard-pairs")
         low = high
-        new = None
-        if not found.isEmpty():
-            nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            sets = staged(shingle_sets(docs, bodies, nodes, words), "jaccard-sets")
-            new = staged(verified(found, sets, threshold), "jaccard-links")
+        new = None if found.isEmpty() else checked(found, docs, bodies, words, threshold)
         # A round that links nothing leaves labels and groups as they are.
         if new is not None and not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = connected_components(links)
-            if high is not None:
-                # A node has one row here: the join makes no more rows than there are nodes, however often they share shingles.
-                named = shared.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.inline("some"))
-                placed = staged(named.select("s", "node", "n", "at", "label"), "jaccard-placed")
-                pairs, n = unlinked_pairs(placed)
+            links = links.unionByName(new)
+            if high is None:
+                labels = connected_components(links)
+            else:
+                labels, placed, pairs, n = labelled(links)
         if high is None:
             break
     return labels
-
-
-def near_copies(docs: DataFrame, words: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id that pairs of sets with a Jaccard similarity of ``threshold`` or more reach.
-
-    Exact but for collisions of 64-bit hashes.  Reads doc_id and text, gives a row a row.  Null texts and texts without
-    words have the empty set and are alike.  A null doc_id names no component unless it stands alone there.
-    """
-    rows = staged(prefixes(docs, words, threshold), "jaccard-rows")
-    bodies = rows.groupBy("body").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("skip").alias("skip"), F.first("prefix").alias("prefix"))
-    bodies, above = with_nodes(bodies, rows)
-    bodies = staged(bodies, "jaccard-bodies")
-    label = F.coalesce("label", "node")
-    known = bodies.select("body", "node").join(node_labels(docs, bodies, words, threshold), "node", "left")
-    known = staged(known.select("body", F.when(label < above, label).alias("component_id")), "jaccard-components")
-    # A body has one row on the right: adaptive execution splits a hot one's rows on the left.
-    return rows.select("doc_id", "body").join(known, "body").select("doc_id", "component_id")

@@ -1,4 +1,4 @@
-"""SimHash near-dedup: 64-bit fingerprints, pigeonhole blocks, verified Hamming distance, components."""
+"""SimHash near-dedup: 64-bit fingerprints, pigeonhole blocks, verified Hamming distance or Jaccard similarity, components."""
 
 from __future__ import annotations
 
@@ -46,6 +46,17 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(value[0])
 
 
+def fingerprint_of(shingles) -> int:
+    """The SimHash of distinct shingles, given as their hashes (uint64): equal sets have equal ones, and no shingles have 0."""
+    import numpy as np
+
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        h = shingles[at : at + CHUNK].astype("<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp) of every whole text; fp is the fingerprint as a signed 64-bit number.  A map, no shuffle."""
     ship(docs.sparkSession)
@@ -212,14 +223,48 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return rows.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept_documents(docs: DataFrame, words: int = 5, threshold: float = jaccard.THRESHOLD) -> DataFrame:
+def fingerprint_pairs(bodies: DataFrame, distance: int) -> DataFrame:
+    """(u, v): pairs of the ``bodies`` (node, fp, n) that connect all whose fingerprints differ in ``distance`` bits at most.
+
+    Sets without shingles are like no other set and bring no pairs.
+    """
+    bodies = bodies.filter("n > 0").select("node", "fp")
+    fps = staged(bodies.groupBy("fp").agg(F.min("node").alias("node")), "simhash-distinct")
+    near = links(fps.select("fp", "node"), fps.count(), distance).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    same = bodies.select("fp", F.col("node").alias("v")).join(fps.withColumnRenamed("node", "u"), "fp").filter(F.col("u") < F.col("v"))
+    return near.unionByName(same.select("u", "v")).distinct()
+
+
+def near_copies(docs: DataFrame, words: int = 5, threshold: float = jaccard.THRESHOLD, distance: int = 6) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id that pairs of sets with a Jaccard similarity of ``threshold`` or more reach.
+
+    SimHash fingerprints within ``distance`` bits, found by pigeonhole masks, are the first pairs; those whose whole sets
+    have the threshold link.  Pairs at 0.8 differ in 4 to 14 bits, more than such masks can cover: what is not
+    connected then is searched exactly (``jaccard.node_labels``).  Exact but for collisions of 64-bit hashes.
+    Reads doc_id and text, gives a row a row.  Null texts and texts without words have the empty set and are alike.  A
+    null doc_id names no component unless it stands alone there.
+    """
+    rows = staged(jaccard.prefixes(docs, words, threshold), "simhash-rows")
+    # Equal sets have the rest alike.
+    alike = [F.first(c).alias(c) for c in ("n", "fp", "skip", "prefix")]
+    bodies, above = with_nodes(rows.groupBy("body").agg(F.min("doc_id").alias("first"), *alike), rows)
+    bodies = staged(bodies, "simhash-bodies")
+    pairs = staged(fingerprint_pairs(bodies, distance), "simhash-pairs")
+    near = jaccard.checked(pairs, docs, bodies, words, threshold)
+    label = F.coalesce("label", "node")
+    known = bodies.select("body", "node").join(jaccard.node_labels(docs, bodies, near, words, threshold), "node", "left")
+    known = staged(known.select("body", F.when(label < above, label).alias("component_id")), "simhash-components")
+    # A body has one row on the right: adaptive execution splits a hot one's rows on the left.
+    return rows.select("doc_id", "body").join(known, "body").select("doc_id", "component_id")
+
+
+def kept_documents(docs: DataFrame, words: int = 5, threshold: float = jaccard.THRESHOLD, distance: int = 6) -> DataFrame:
     """One document of each component of near copies, that with the smallest doc_id, with the columns of ``docs``.
 
-    Links by the exact Jaccard similarity of word shingles, not by fingerprints: pairs at 0.8 differ in 4 to
-    14 bits, more than pigeonhole blocks can cover.  Only the doc_ids that go take part in the join.  Rows
-    that share a doc_id stay or go together; rows without one stay.
+    Links are checked by the exact Jaccard similarity of word shingles.  Only the doc_ids that go take part in
+    the join.  Rows that share a doc_id stay or go together; rows without one stay.
     """
-    placed = jaccard.near_copies(docs, words, threshold)
+    placed = near_copies(docs, words, threshold, distance)
     gone = placed.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = staged(gone, "simhash-gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import jaccard
@@ -97,3 +98,46 @@ def test_shingles_are_counted_over_all_documents(spark, odd, none, each, monkeyp
     want = [(d, len(s), own := sum(held[x] == 1 for x in s), max(0, least(len(s)) - own)) for d, s in sets]
     assert sorted((str(r.doc_id), r.n, r.skip, len(r.prefix)) for r in found) == sorted((str(d), *x) for d, *x in want)
     assert jaccard.prefixes(none, 5, 0.8).collect() == []
+
+
+def test_fingerprints_give_the_first_links(spark, monkeypatch):
+    docs = spark.createDataFrame(planted(), "doc_id long, text string").repartition(3)
+    sets = {d: plain_set(t) for d, t in planted()}
+    fps = {d: sh.fingerprint_of(jaccard.shingle_set(t)) for d, t in planted()}
+    far = lambda a, b: (fps[a] ^ fps[b]).bit_count()
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    seen, given = [], []
+    pairs_of, labels_of = sh.fingerprint_pairs, jaccard.node_labels
+
+    def pairs(*args):
+        found = pairs_of(*args)
+        seen.extend(tuple(r) for r in found.collect())
+        return found
+
+    def labels(docs, bodies, links, *rest):
+        given.extend(tuple(r) for r in links.collect())
+        return labels_of(docs, bodies, links, *rest)
+
+    monkeypatch.setattr(sh, "fingerprint_pairs", pairs)
+    monkeypatch.setattr(jaccard, "node_labels", labels)
+    assert sorted(str(r.doc_id) for r in sh.kept_documents(docs).collect()) == plain_kept(planted())
+    # The smallest doc_id of those with equal sets is their node.
+    assert sorted(given) == sorted(p for p in seen if like(*p)) and len(given) > 100
+    forest = sh.Forest()
+    for a, b in seen:
+        assert far(a, b) <= 6
+        forest.join(a, b)
+    nodes = {s: d for d, s in sorted(sets.items(), reverse=True)}.values()
+    assert all(forest.root(a) == forest.root(b) for a in nodes for b in nodes if a < b and far(a, b) <= 6)
+
+
+def test_set_fingerprints():
+    rng = random.Random(3)
+    for n in (1, 2, 17, 70_000):
+        h = [rng.getrandbits(64) for _ in range(n)]
+        want = sum((2 * sum(x >> b & 1 for x in h) > n) << b for b in range(64))
+        assert sh.fingerprint_of(np.array(h, np.uint64)) == want
+    assert sh.fingerprint_of(np.zeros(0, np.uint64)) == 0
+    # Without repeated shingles that is the operator's fingerprint.
+    text = " ".join(f"w{i}" for i in range(50))
+    assert sh.fingerprint_of(jaccard.shingle_set(text, 4)) == sh.fingerprint(text)
