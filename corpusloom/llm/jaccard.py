@@ -1,5 +1,5 @@
 """The exact Jaccard similarity of word-shingle sets behind the SimHash near-dedup: a check of its pairs, and the pairs that
-fingerprints miss, by rarest-first prefixes and pivots."""
+fingerprints miss, by rarest-first prefixes, parity bits and pivots."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ EACH_PART, MOST_SHINGLES, MOST_DOCS = 256, 1 << 19, 1 << 14
 #: The rounds end early with all pairs under different labels, once they are at most EACH a posting.
 PIVOTS = (2, 16, 128)
 EACH = 8
+#: Parity bits of a set.
+PARITY = 512
 
 
 def shingle_set(text: str | None, words: int = 5):
@@ -48,14 +50,21 @@ def body_of(shingles) -> int:
 
 
 #: What a block lists of its documents.
-DOCUMENTS = "doc_ids array<long>, bodies array<long>, sizes array<int>, fps array<long>"
+DOCUMENTS = "doc_ids array<long>, bodies array<long>, sizes array<int>, fps array<long>, bits array<binary>"
+
+
+def parity(shingles) -> bytes:
+    """PARITY bits, each the parity of the shingles it stands for: two sets differ in at least as many shingles as bits."""
+    import numpy as np
+
+    return np.packbits(np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
 
 
 def blocks(docs: DataFrame, words: int, parts: int) -> DataFrame:
     """The shingles of the documents, a block of documents at a time.
 
     A row a block and part has the low 32 bits of the shingles of that part and the place of each one's document in the
-    block.  A row a block, its part below zero, has the documents: doc_id, body, number of shingles and SimHash.
+    block.  A row a block, its part below zero, has the documents: doc_id, body, number of shingles, SimHash and parity bits.
     """
     schema = f"block long, part int, keys binary, places binary, {DOCUMENTS}"
     target = arrow_schema(schema)
@@ -95,6 +104,7 @@ def blocks(docs: DataFrame, words: int, parts: int) -> DataFrame:
                 [*none, bodies],
                 [*none, sizes],
                 [*none, fps],
+                [*none, [parity(s) for s in sets]],
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
@@ -134,7 +144,7 @@ def shared_shingles(dealt: DataFrame) -> DataFrame:
     """
     schema = f"block long, part int, keys binary, places binary, counts binary, total int, {DOCUMENTS}"
     target = arrow_schema(schema)
-    dealt = dealt.select("part", "block", "keys", "places", "doc_ids", "bodies", "sizes", "fps")
+    dealt = dealt.select("part", "block", "keys", "places", "doc_ids", "bodies", "sizes", "fps", "bits")
     dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "part").sortWithinPartitions("part")
 
     def work(batches):
@@ -156,14 +166,14 @@ def shared_shingles(dealt: DataFrame) -> DataFrame:
                 count = n[start : start + len(key)]
                 start += len(key)
                 some = count > 1
-                out.append((block, part, key[some].tobytes(), np.frombuffer(places, np.uint16)[some].tobytes(), count[some].tobytes(), len(key), None, None, None, None))
+                out.append((block, part, key[some].tobytes(), np.frombuffer(places, np.uint16)[some].tobytes(), count[some].tobytes(), len(key), None, None, None, None, None))
             yield batch(out)
 
     return dealt.mapInArrow(work, schema)
 
 
 def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_id, body, n, fp, skip, prefix): a text's set by name, its size, SimHash and rarest n - ceil(threshold * n) + 1 shingles, rarest first.
+    """(doc_id, body, n, fp, bits, skip, prefix): a text's set by name, its size, SimHash, parity bits and rarest n - ceil(threshold * n) + 1 shingles, rarest first.
 
     The first ``skip`` of the set are in no other document and are not listed.  Documents are counted exactly, all of them; a
     shingle is named by its part and 32 bits, and names that fall together only add candidates.
@@ -173,7 +183,7 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     parts = min(max(SPREAD * shuffle_partitions(spark), size // PART), 1 << 30)
     shared = shared_shingles(blocks(docs, words, parts)).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
-    schema = "doc_id long, body long, n int, fp long, skip int, prefix array<long>"
+    schema = "doc_id long, body long, n int, fp long, bits binary, skip int, prefix array<long>"
     target = arrow_schema(schema)
 
     def work(batches):
@@ -187,7 +197,7 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
             rows = [r for r in rows if r[1] >= 0]
             if len(documents) != 1 or sum(documents[0][2]) != sum(r[5] for r in rows):
                 raise RuntimeError("a block of documents came back in parts: the input changed between two runs of a task")
-            doc_ids, bodies, sizes, fps = documents[0]
+            doc_ids, bodies, sizes, fps, bits = documents[0]
             keys = [np.frombuffer(r[2], np.uint32).astype(np.int64) | r[1] << 32 for r in rows]
             s, place, count = (
                 np.concatenate([*found, np.zeros(0, kind)])
@@ -200,20 +210,26 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 length = n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
                 skips.append(n - (b - a))
                 out.append(s[a : a + max(0, length - skips[-1])])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((doc_ids, bodies, sizes, fps, skips, out), target, strict=True)], schema=target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((doc_ids, bodies, sizes, fps, bits, skips, out), target, strict=True)], schema=target)
 
     return shared.mapInArrow(work, schema)
 
 
 def grouped(batches, columns: int):
-    """Arrow batches sorted by their first column as lists of numpy columns that hold whole groups."""
+    """Arrow batches sorted by their first column as lists of numpy columns that hold whole groups; parity bits are rows of uint64."""
     import numpy as np
+    import pyarrow as pa
+
+    def column(c):
+        if pa.types.is_binary(c.type):
+            return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1)
+        return c.to_numpy(zero_copy_only=False)
 
     held = None
     for b in batches:
         if not b.num_rows:
             continue
-        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        now = [column(b.column(i)) for i in range(columns)]
         held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
         # The last group may go on in the next batch.
         start = int(np.argmax(held[0] == held[0][-1]))
@@ -252,9 +268,10 @@ def shared_postings(bodies: DataFrame) -> DataFrame:
 
 
 def candidates(postings: DataFrame, low: int, high: int | None, threshold: float) -> DataFrame:
-    """(u, v): pairs of nodes under different labels that a group holds and whose sizes and places allow the threshold.
+    """(u, v): pairs of nodes under different labels that a group holds and whose sizes, places and parity bits allow the threshold.
 
-    The first of a pair, by node, has a place from ``low`` up to ``high`` in the group; None stands for the end.
+    Sets at the threshold differ in (1 - threshold) / (1 + threshold) of their shingles at most, and so do their parity bits:
+    those members of a large group that only look alike by a few shingles are told apart before they become rows.  The first of a pair, by node, has a place from ``low`` up to ``high`` in the group; None stands for the end.
     """
     target = arrow_schema("u long, v long")
     dealt = postings.repartition(shuffle_partitions(postings.sparkSession), "s").sortWithinPartitions("s", "node")
@@ -262,14 +279,16 @@ def candidates(postings: DataFrame, low: int, high: int | None, threshold: float
     def work(batches):
         import numpy as np
 
-        def pairs(i, j, node, n, at, label):
+        def pairs(i, j, node, n, at, label, bits):
             a, b = n[i].astype(np.int64), n[j].astype(np.int64)
             most = np.minimum(at[i], at[j]) + 1 + np.minimum(a - at[i] - 1, b - at[j] - 1)
             fit = (label[i] != label[j]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
             fit &= most >= threshold / (1 + threshold) * (a + b) - 1e-9
-            return np.minimum(node[i], node[j])[fit], np.maximum(node[i], node[j])[fit]
+            i, j, most = i[fit], j[fit], (a + b)[fit] * (1 - threshold) / (1 + threshold) + 1e-9
+            near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
+            return np.minimum(node[i], node[j])[near], np.maximum(node[i], node[j])[near]
 
-        for s, *columns in grouped(batches, 5):
+        for s, *columns in grouped(batches, 6):
             first, last = group_edges(s)
             two = first[last - first == 2] if low == 0 else first[:0]
             some = [pairs(two, two + 1, *columns)]
@@ -307,9 +326,10 @@ def candidates(postings: DataFrame, low: int, high: int | None, threshold: float
     return dealt.mapInArrow(work, "u long, v long").distinct()
 
 
-def shared_prefixes(postings: DataFrame) -> DataFrame:
-    """(node, n, some): the shingles of a node's prefix that other prefixes hold, with their places."""
-    return postings.groupBy("node", "n").agg(F.collect_list(F.struct("s", "at")).alias("some"))
+def shared_prefixes(postings: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(node, n, some, bits): the shingles of a node's prefix that other prefixes hold, with their places, and its parity bits."""
+    some = postings.groupBy("node", "n").agg(F.collect_list(F.struct("s", "at")).alias("some"))
+    return some.join(bodies.select("node", "bits"), "node")
 
 
 def possible(pairs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
@@ -379,20 +399,20 @@ def checked(pairs: DataFrame, docs: DataFrame, bodies: DataFrame, words: int, th
 
 
 def node_labels(docs: DataFrame, bodies: DataFrame, links: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(node, label) of the ``bodies`` (body, first, node, n, skip, prefix) that pairs at the threshold connect; label is the smallest node.
+    """(node, label) of the ``bodies`` (body, first, node, n, bits, skip, prefix) that pairs at the threshold connect; label is the smallest node.
 
     ``links`` (u, v) are pairs known to have the threshold; all others are found here.  They share a prefix shingle.  A
     group's first members are pivots and are held against the rest; what is connected already brings no
     pairs, so that a large group of copies is not listed pair by pair.
     """
     postings = staged(shared_postings(bodies), "jaccard-postings")
-    shared = staged(shared_prefixes(postings), "jaccard-shared")
+    shared = staged(shared_prefixes(postings, bodies), "jaccard-shared")
 
     def labelled(links):
         # A node has one row here: the join makes no more rows than there are nodes, however often they share shingles.
         labels = connected_components(links)
-        named = shared.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.inline("some"))
-        placed = staged(named.select("s", "node", "n", "at", "label"), "jaccard-placed")
+        named = shared.join(labels, "node", "left").select("node", "n", "bits", F.coalesce("label", "node").alias("label"), F.inline("some"))
+        placed = staged(named.select("s", "node", "n", "at", "label", "bits"), "jaccard-placed")
         return labels, placed, *unlinked_pairs(placed)
 
     labels, placed, pairs, n = labelled(links)

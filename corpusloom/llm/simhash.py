@@ -246,7 +246,7 @@ def near_copies(docs: DataFrame, words: int = 5, threshold: float = jaccard.THRE
     """
     rows = staged(jaccard.prefixes(docs, words, threshold), "simhash-rows")
     # Equal sets have the rest alike.
-    alike = [F.first(c).alias(c) for c in ("n", "fp", "skip", "prefix")]
+    alike = [F.first(c).alias(c) for c in ("n", "fp", "bits", "skip", "prefix")]
     bodies, above = with_nodes(rows.groupBy("body").agg(F.min("doc_id").alias("first"), *alike), rows)
     bodies = staged(bodies, "simhash-bodies")
     pairs = staged(fingerprint_pairs(bodies, distance), "simhash-pairs")

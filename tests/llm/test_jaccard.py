@@ -141,3 +141,32 @@ def test_set_fingerprints():
     # Without repeated shingles that is the operator's fingerprint.
     text = " ".join(f"w{i}" for i in range(50))
     assert sh.fingerprint_of(jaccard.shingle_set(text, 4)) == sh.fingerprint(text)
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = random.Random(5)
+    for n in (0, 1, 30, 2000):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(list(a)[: n // 2]) | {rng.getrandbits(64) for _ in range(n // 3)}
+        x, y = (int.from_bytes(jaccard.parity(np.array(sorted(s), np.uint64))) for s in (a, b))
+        assert (x ^ y).bit_count() <= len(a ^ b) and (x ^ y).bit_count() % 2 == len(a ^ b) % 2
+
+
+def test_a_large_group_is_not_listed_pair_by_pair(spark, monkeypatch):
+    """Short texts whose words come from a few choices: all share rare shingles, few are alike enough."""
+    rng = random.Random(13)
+    choices = [[f"w{at}x{i}" for i in range({0: 20, 24: 20, 6: 4, 12: 4, 18: 4}.get(at, 1))] for at in range(25)]
+    texts = sorted({" ".join(map(rng.choice, choices)) for _ in range(400)})
+    rng.shuffle(texts)
+    rows, made = list(enumerate(texts)), []
+    candidates = jaccard.candidates
+
+    def counted(*args):
+        found = candidates(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(r.doc_id) for r in sh.kept_documents(docs).collect()) == plain_kept(rows)
+    assert sum(made) <= 10 * len(rows)
