@@ -21,6 +21,8 @@ PIVOTS = (2, 16, 128)
 EACH = 8
 #: Parity bits of a set.
 PARITY = 512
+#: Shingles before it that a posting brings along, to tell whether two sets have met in an earlier group.
+BEFORE = 4
 
 
 def shingle_set(text: str | None, words: int = 5):
@@ -216,13 +218,15 @@ def prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 
 def grouped(batches, columns: int):
-    """Arrow batches sorted by their first column as lists of numpy columns that hold whole groups; parity bits are rows of uint64."""
+    """Arrow batches sorted by their first column as lists of numpy columns that hold whole groups; parity bits are rows of uint64, lists rows of their numbers."""
     import numpy as np
     import pyarrow as pa
 
     def column(c):
         if pa.types.is_binary(c.type):
             return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1)
+        if pa.types.is_list(c.type):
+            return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
         return c.to_numpy(zero_copy_only=False)
 
     held = None
@@ -270,6 +274,9 @@ def shared_postings(bodies: DataFrame) -> DataFrame:
 def candidates(postings: DataFrame, low: int, high: int | None, threshold: float) -> DataFrame:
     """(u, v): pairs of nodes under different labels that a group holds and whose sizes, places and parity bits allow the threshold.
 
+    A pair is due in the group of the first shingle that both prefixes hold, where all they share is still to come.  The places
+    are held to that, and those who both bring a shingle that came before have met: a pair does not
+    become a row again for each shingle it shares.
     Sets at the threshold differ in (1 - threshold) / (1 + threshold) of their shingles at most, and so do their parity bits:
     those members of a large group that only look alike by a few shingles are told apart before they become rows.  The first of a pair, by node, has a place from ``low`` up to ``high`` in the group; None stands for the end.
     """
@@ -279,16 +286,21 @@ def candidates(postings: DataFrame, low: int, high: int | None, threshold: float
     def work(batches):
         import numpy as np
 
-        def pairs(i, j, node, n, at, label, bits):
+        def pairs(i, j, node, n, at, label, bits, before):
             a, b = n[i].astype(np.int64), n[j].astype(np.int64)
-            most = np.minimum(at[i], at[j]) + 1 + np.minimum(a - at[i] - 1, b - at[j] - 1)
             fit = (label[i] != label[j]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
-            fit &= most >= threshold / (1 + threshold) * (a + b) - 1e-9
+            fit &= np.minimum(a - at[i], b - at[j]) >= threshold / (1 + threshold) * (a + b) - 1e-9
             i, j, most = i[fit], j[fit], (a + b)[fit] * (1 - threshold) / (1 + threshold) + 1e-9
             near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j = i[near], j[near]
+            near = np.ones(len(i), bool)
+            for x in range(before.shape[1]):
+                # Below zero: nothing came before.
+                met = (before[i, x, None] == before[j]).any(axis=1) & (before[i, x] >= 0)
+                near &= ~met
             return np.minimum(node[i], node[j])[near], np.maximum(node[i], node[j])[near]
 
-        for s, *columns in grouped(batches, 6):
+        for s, *columns in grouped(batches, 7):
             first, last = group_edges(s)
             two = first[last - first == 2] if low == 0 else first[:0]
             some = [pairs(two, two + 1, *columns)]
@@ -327,8 +339,13 @@ def candidates(postings: DataFrame, low: int, high: int | None, threshold: float
 
 
 def shared_prefixes(postings: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(node, n, some, bits): the shingles of a node's prefix that other prefixes hold, with their places, and its parity bits."""
-    some = postings.groupBy("node", "n").agg(F.collect_list(F.struct("s", "at")).alias("some"))
+    """(node, n, some, bits): the shingles of a node's prefix that other prefixes hold, by place, and its parity bits.
+
+    Each has its place and the BEFORE shingles that come before it in ``some``; -1 stands where there are fewer.
+    """
+    found = postings.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("found"))
+    before = lambda i: F.array(*[F.coalesce(F.get("found", i - k)["s"], F.lit(-1)) for k in range(1, BEFORE + 1)])
+    some = found.select("node", "n", F.transform("found", lambda x, i: F.struct(x["s"].alias("s"), x["at"].alias("at"), before(i).alias("before"))).alias("some"))
     return some.join(bodies.select("node", "bits"), "node")
 
 
@@ -412,7 +429,7 @@ def node_labels(docs: DataFrame, bodies: DataFrame, links: DataFrame, words: int
         # A node has one row here: the join makes no more rows than there are nodes, however often they share shingles.
         labels = connected_components(links)
         named = shared.join(labels, "node", "left").select("node", "n", "bits", F.coalesce("label", "node").alias("label"), F.inline("some"))
-        placed = staged(named.select("s", "node", "n", "at", "label", "bits"), "jaccard-placed")
+        placed = staged(named.select("s", "node", "n", "at", "label", "bits", "before"), "jaccard-placed")
         return labels, placed, *unlinked_pairs(placed)
 
     labels, placed, pairs, n = labelled(links)

@@ -170,3 +170,34 @@ def test_a_large_group_is_not_listed_pair_by_pair(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(str(r.doc_id) for r in sh.kept_documents(docs).collect()) == plain_kept(rows)
     assert sum(made) <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("groups, size, changed", [(30, 4, 4), (1, 100, 2), (1, 400, 2)])
+def test_a_pair_is_no_row_for_each_shared_shingle(spark, groups, size, changed, monkeypatch):
+    """Copies with some words changed share up to a hundred rare shingles: the rows made, before any are put together."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for _ in range(groups):
+        base = [word() for _ in range(100 * changed)]
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), changed):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows, made = list(enumerate(texts)), []
+    candidates = jaccard.candidates
+
+    def counted(postings, *args):
+        with monkeypatch.context() as m:
+            m.setattr(type(postings), "distinct", lambda df: df)
+            every = candidates(postings, *args)
+        made.append(every.count())
+        return every.distinct()
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(r.doc_id) for r in sh.kept_documents(docs, distance=1).collect()) == plain_kept(rows)
+    # Of a group all texts are alike: its pairs if they are few, else about two a text.
+    assert 0 < sum(made) <= 4 * len(rows)
