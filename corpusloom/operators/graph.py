@@ -85,15 +85,16 @@ def longest_aliases(docs: DataFrame, aliases: DataFrame, most_words: int = 5) ->
     """(id, entity): greedy left-to-right matches of aliases (alias, entity), at each word the longest.
 
     Candidates come from an equi-join of the texts' word spans with the aliases; the greedy choice folds over a
-    document's few matches.
+    document's few matches.  Of several entities of one alias the smallest is taken.  Spans are many times the
+    size that Spark reckons from the files: they are dealt out before they are made and never broadcast.
     """
-    spans = docs.select("id", F.posexplode("words").alias("at", "w"), "words")
-    grams = spans.select("id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("words") - F.col("at")))).alias("n"), "words")
-    grams = grams.select("id", "at", "n", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("alias"))
-    hits = grams.join(aliases, "alias").groupBy("id", "at").agg(F.max_by(F.struct("n", "entity"), "n").alias("m"))
-    listed = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("m.n").alias("n"), F.col("m.entity").alias("entity")))).alias("hits"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("words") - at)), lambda n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("words", at + 1, n), " ").alias("alias")))
+    grams = docs.select("id", "words").repartition(parts, "id").select("id", F.explode(F.flatten(F.transform("words", lambda w, at: spans(at)))).alias("g")).select("id", "g.*")
+    hits = grams.hint("merge").join(aliases, "alias")
+    listed = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "entity"))).alias("hits"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("taken"))
-    step = lambda acc, h: F.when(h["at"] < acc["free"], acc).otherwise(F.struct((h["at"] + h["n"]).alias("free"), F.concat(acc["taken"], F.array(h["entity"])).alias("taken")))
+    step = lambda acc, h: F.when(h["at"] < acc["free"], acc).otherwise(F.struct((h["at"] - h["less"]).alias("free"), F.concat(acc["taken"], F.array(h["entity"])).alias("taken")))
     return listed.select("id", F.explode(F.array_distinct(F.aggregate("hits", start, step)["taken"])).alias("entity"))
 
 
