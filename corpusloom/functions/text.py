@@ -193,10 +193,12 @@ def _closes_short(w: str) -> bool:
 STEP2 = [x.split(":") for x in "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split()]
 STEP3 = [x.split(":") for x in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()]
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+# The longest suffix that fits counts.
+STEP2, STEP3, STEP4 = (sorted(s, key=lambda r: -len(r[0])) for s in (STEP2, STEP3, [[s] for s in STEP4]))
 
 
 def _replaced(w: str, rules, least: int) -> str:
-    for suffix, to in sorted(rules, key=lambda r: -len(r[0])):
+    for suffix, to in rules:
         if w.endswith(suffix):
             stem = w[: len(w) - len(suffix)]
             return stem + to if _measure(stem) > least else w
@@ -230,7 +232,7 @@ def porter_stem(word: str) -> str:
     if w.endswith("y") and any(not _consonant(w[:-1], i) for i in range(len(w) - 1)):
         w = w[:-1] + "i"
     w = _replaced(_replaced(w, STEP2, 0), STEP3, 0)
-    for suffix in sorted(STEP4, key=len, reverse=True):
+    for (suffix,) in STEP4:
         if w.endswith(suffix):
             stem = w[: len(w) - len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):

@@ -9,6 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,9 @@ from corpusloom.staging import written
 
 FIELDS = tuple(FIELD_BOOSTS)
 #: Postings a bucket of the index, and documents of one term that a task writes: hot terms lie in several files.
-POSTINGS_PER_BUCKET = 4_000_000
+POSTINGS_PER_BUCKET, PARTS = 4_000_000, 8
+#: Terms of whole documents whose postings a Python worker makes at once, and asked terms that every task is sent.
+TERMS_AT_ONCE, MOST_SENT = 1_000_000, 100_000
 #: Fixed value: the most edits that a typo may have.
 MOST_EDITS = 6
 
@@ -32,31 +37,60 @@ def terms_of(field: str) -> Column:
 
 
 def all_postings(docs: DataFrame) -> DataFrame:
-    """(term, field, id, tf): words, and the stems of those that differ from theirs.
+    """(term, field, id, depth, tf, len) of documents with ids of their own: words, and the stems of those that differ from theirs.
 
-    Stems are made once a distinct word, the only step outside the JVM.
+    A document's postings are made from its row alone, nothing is shuffled: a batch's words become numbers, whose
+    pairs with rows are counted, and stems are made once a distinct word of a batch.  ``len`` is the field's distinct terms.
     """
     fields = [f for f in FIELDS if f in docs.columns]
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms_of(f).alias("terms")) for f in fields])).alias("e")
-    rows = docs.select("id", each).select("id", "e.field", F.explode("e.terms").alias("term"))
-    words = written(rows.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf")))
-    stems = words.filter((F.col("field") != "doc_no") & ~F.contains("term", F.lit("."))).select("term").distinct().withColumn("stem", tx.stem("term"))
-    stemmed = words.filter(F.col("field") != "doc_no").join(stems.filter("stem <> term"), "term").select(F.col("stem").alias("term"), "field", "id", "tf")
-    return words.unionByName(stemmed).groupBy("term", "field", "id").agg(F.sum("tf").alias("tf"))
+    rows = docs.select("id", F.col("depth").cast("int").alias("depth"), each).select("id", "depth", "e.field", "e.terms")
+
+    def work(batches):
+        for b in batches:
+            terms, start = b.column(3), 0
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+            while start < b.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TERMS_AT_ONCE, "right")))
+                yield _counted(b.slice(start, stop - start))
+                start = stop
+
+    return rows.mapInArrow(work, f"term string, field string, id {docs.schema['id'].dataType.simpleString()}, depth int, tf long, len long")
+
+
+def _counted(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of a batch (id, depth, field, terms)."""
+    fields, terms = b.column(2), b.column(3)
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    coded = terms.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    numbers = {w: i for i, w in enumerate(words)}
+    stems = np.array([numbers.setdefault(w if "." in w else tx.porter_stem(w), len(numbers)) for w in words], np.int64)
+    width = max(1, len(numbers))
+    pairs, tf = np.unique(np.repeat(np.arange(b.num_rows), sizes) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, word = np.divmod(pairs, width)
+    other = (stems[word] != word) & pc.not_equal(fields, "doc_no").to_numpy(zero_copy_only=False)[row] if len(pairs) else np.zeros(0, bool)
+    pairs, at = np.unique(np.concatenate([pairs, row[other] * width + stems[word[other]]]), return_inverse=True)
+    tf = np.bincount(at, weights=np.concatenate([tf, tf[other]]), minlength=len(pairs)).astype(np.int64)
+    row, word = np.divmod(pairs, width)
+    rows = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(numbers), pa.string()).take(pa.array(word)), fields.take(rows), b.column(0).take(rows), b.column(1).take(rows), pa.array(tf), pa.array(np.bincount(row, minlength=b.num_rows)[row].astype(np.int64))],
+        names=["term", "field", "id", "depth", "tf", "len"],
+    )
 
 
 def write_index(docs: DataFrame, path: str) -> None:
     """The index of ``docs`` (id, depth and any of the fields) under ``path``: postings in buckets by term, terms, and statistics."""
     rows = written(all_postings(docs))
-    lengths = rows.groupBy("id", "field").agg(F.count(F.lit(1)).alias("len"))
-    found = rows.join(lengths, ["id", "field"]).join(docs.select("id", "depth"), "id")
     buckets = max(1, -(-rows.count() // POSTINGS_PER_BUCKET))
-    found = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(8)))
-    dealt = found.repartition("bucket", "_part").sortWithinPartitions("bucket", "term", "field", "id").drop("_part")
+    found = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    dealt = found.repartition(buckets * PARTS, "bucket", "_part").sortWithinPartitions("bucket", "term", "field", "id").drop("_part")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     rows.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
     n = docs.count()
-    stats = lengths.groupBy("field").agg((F.sum("len") / F.lit(max(1, n))).alias("avg"))
+    # Each field's lengths sum up to its postings.
+    stats = rows.groupBy("field").agg((F.count(F.lit(1)) / F.lit(max(1, n))).alias("avg"))
     stats.withColumn("n", F.lit(n)).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -75,16 +109,16 @@ class Index:
         A prefix has two letters at least.  A typo is looked for only if the term is not indexed, has four letters
         and no dot; what is a longer word of the prefix is not also a typo of it.
         """
-        words = self.terms.select("term").distinct()
+        words = self.terms.select("term")
         asked = F.explode(F.array(*[F.struct(F.lit(t).alias("q"), F.lit(min(MOST_EDITS, int(FUZZY_SHARE * len(t) + 0.5)) if len(t) >= 4 and "." not in t else 0).alias("edits")) for t in terms]))
         pairs = words.select("term", asked.alias("a")).select("term", "a.q", "a.edits")
         same, longer = F.col("term") == F.col("q"), F.length("term") - F.length("q")
         if exact:
-            return pairs.filter(same).select("q", "term", F.lit(1.0).alias("weight"))
+            return pairs.filter(same).select("q", "term", F.lit(1.0).alias("weight")).distinct()
         prefix = F.col("term").startswith(F.col("q")) & (F.length("q") >= 2) & ~same
         distance = F.when((F.col("edits") > 0) & (F.abs(longer) <= F.col("edits")), F.levenshtein("term", "q"))
         weight = F.when(same, 1.0).when(prefix, PREFIX_WEIGHT * F.length("term") / (F.length("term") + 0.3 * longer)).when(distance <= F.col("edits"), FUZZY_WEIGHT * F.length("term") / (F.length("term") + distance))
-        near = written(pairs.select("q", "term", weight.alias("weight"), same.alias("same"), (~same & ~prefix).alias("typo")).filter("weight IS NOT NULL"))
+        near = written(pairs.select("q", "term", weight.alias("weight"), same.alias("same"), (~same & ~prefix).alias("typo")).filter("weight IS NOT NULL").distinct())
         known = near.filter("same").select("q")
         return near.filter("NOT typo").unionByName(near.filter("typo").join(known, "q", "left_anti")).select("q", "term", "weight")
 
@@ -95,7 +129,9 @@ class Index:
         answering terms and fields, times the matched query terms and the depth boost.
         """
         wanted = self.expanded(list(dict.fromkeys(terms)), exact)
-        asked = wanted.join(self.terms.filter(F.col("field").isin(list(fields))), "term").join(F.broadcast(self.stats), "field")  # a row a field
+        asked = written(wanted.join(self.terms.filter(F.col("field").isin(list(fields))), "term").join(F.broadcast(self.stats), "field"))  # a row a field
+        # Few rows go to the postings, where they lie; those that very many terms answer are joined by sorting.
+        asked = asked.hint("broadcast" if asked.count() <= MOST_SENT else "merge")
         hits = self.postings.filter(F.col("field").isin(list(fields)))
         if exact:
             numbers = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("b")).distinct()

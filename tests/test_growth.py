@@ -1,5 +1,6 @@
 """What must not grow with the input: plans and batches of the operators, next to their results."""
 
+from corpusloom.operators import fulltext as ft
 from corpusloom.operators import graph as gr
 
 
@@ -13,3 +14,14 @@ def test_word_spans_are_not_broadcast(spark, tmp_path):
     found = gr.longest_aliases(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/aliases"))
     assert {(r.id, r.entity) for r in found.collect()} == {(1, "RW"), (1, "S"), (4, "AR")}
     assert "Broadcast" not in plan(found)
+
+
+def test_postings_are_made_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ft, "TERMS_AT_ONCE", 3)
+    docs = spark.createDataFrame([(1, "A.1", "votes vote the v.1", 2), (2, " ", None, 0), (3, None, "licensing licensing", 5)], "id long, doc_no string, content string, depth int")
+    found = ft.all_postings(docs)
+    assert "Exchange" not in plan(found)
+    assert {(r.term, r.field, r.id, r.depth, r.tf, r.len) for r in found.collect()} == {
+        ("a.1", "doc_no", 1, 2, 1, 1), ("vote", "content", 1, 2, 2, 3), ("votes", "content", 1, 2, 1, 3), ("v.1", "content", 1, 2, 1, 3),
+        ("licensing", "content", 3, 5, 2, 2), ("licens", "content", 3, 5, 2, 2),
+    }
