@@ -95,8 +95,8 @@ def _census(s, d):
 
 
 def _sweep(s, d):
-    links = sim.cosine_links(vectors(s, d), (0.4, 0.45, 0.5))
-    return links.agg(*[F.count_if(F.col("cosine") >= t).alias(f"pairs_{round(t * 100)}") for t in (0.4, 0.45, 0.5)])
+    found = sim.cosine_counts(vectors(s, d), (0.4, 0.45, 0.5))
+    return found.select(*[F.col(f"t{i}").alias(f"pairs_{t}") for i, t in enumerate((40, 45, 50))])
 
 
 def _cosine_families(s, d):

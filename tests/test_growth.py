@@ -1,7 +1,11 @@
 """What must not grow with the input: plans and batches of the operators, next to their results."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpusloom.operators import fulltext as ft
 from corpusloom.operators import graph as gr
+from corpusloom.operators import similarity as sim
 
 
 def plan(df) -> str:
@@ -25,3 +29,47 @@ def test_postings_are_made_without_a_shuffle(spark, monkeypatch):
         ("a.1", "doc_no", 1, 2, 1, 1), ("vote", "content", 1, 2, 2, 3), ("votes", "content", 1, 2, 1, 3), ("v.1", "content", 1, 2, 1, 3),
         ("licensing", "content", 3, 5, 2, 2), ("licens", "content", 3, 5, 2, 2),
     }
+
+
+def test_cosines_are_held_against_thresholds_as_rounded(spark):
+    v = [[1.0, 0.0], [0.3999996, (1 - 0.3999996**2) ** 0.5], [-1.0, 0.0], [0.0, 1.0]]
+    rows = spark.createDataFrame([*enumerate(v), (9, None)], "id long, v array<double>")
+    assert {(r.a, r.b, r.cosine) for r in sim.cosine_links(rows, (0.4,)).collect()} == {(0, 1, 0.4), (1, 3, 0.916515)}
+    assert tuple(sim.cosine_counts(rows, (0.4, 0.5, 0.95)).head()) == (2, 1, 0)
+
+
+def test_pairs_of_all_blocks_come_once(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(sim, "PAIR_BLOCK", 20)
+    v = np.random.default_rng(4).normal(size=(300, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    got = [(r.a, r.b) for r in sim.cosine_links(rows, (0.7,)).collect()]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if round(float(v[i] @ v[j]), 6) >= 0.7}
+    assert len(got) == len(want) and set(got) == want and sim.cosine_counts(rows, (0.7,)).head().t0 == len(want)
+    assert sim.cosine_counts(rows.limit(0), (0.7,)).head().t0 == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 64, 1 << 20])
+def test_a_task_keeps_k_rows_a_query(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sim, "SCORES_AT_ONCE", at_once)
+    vs = {i: [float(i % 7), float(i % 3)] for i in range(200)}
+    rows = spark.createDataFrame([*vs.items()], "id long, v array<double>").coalesce(1)
+    asked = [0, 5, 300]
+    queries = spark.createDataFrame([(i, vs.get(i, [1.0, -1.0])) for i in asked], "query_id long, q array<double>")
+    monkeypatch.setattr(sim, "QUERY_BLOCK", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = {(r.query_id, r["rank"]): r.id for r in sim.vector_topk(rows, queries, 4).collect()}
+        q = [vs[0], vs[5]]
+        import numpy as np
+
+        sent = spark.sparkContext.broadcast((np.array([0, 5], np.int64), np.array(q)))
+        assert sim._block_candidates(rows, sent, 4).count() == 2 * 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    score = lambda i, q: sum(x * y for x, y in zip(vs[i], vs.get(q, [1.0, -1.0]), strict=True))
+    for q_id in asked:
+        want = sorted((i for i in vs if i != q_id), key=lambda i: (-score(i, q_id), i))[:4]
+        assert [found[q_id, r] for r in range(1, 5)] == want
