@@ -80,6 +80,25 @@ def _counted(b: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def word_forms(docs: DataFrame, word: str) -> DataFrame:
+    """(id, forms): of documents (id, content) the distinct terms with the stem of ``word``, in one pass and without a shuffle."""
+    wanted = tx.porter_stem(word)
+
+    def work(batches):
+        for b in batches:
+            coded = b.column(1).flatten().dictionary_encode()
+            # A stem begins as its word does.
+            same = np.array([w[:1] == wanted[:1] and tx.porter_stem(w) == wanted for w in coded.dictionary.to_pylist()], bool)
+            sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), sizes)[same[coded.indices.to_numpy(zero_copy_only=False)]]
+            forms = np.bincount(row, minlength=b.num_rows)
+            found = np.flatnonzero(forms)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found)), pa.array(forms[found].astype(np.int64))], names=["id", "forms"])
+
+    terms = F.array_distinct(tx.index_terms(F.col("content")))
+    return docs.select("id", terms.alias("terms")).mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, forms long")
+
+
 def write_index(docs: DataFrame, path: str) -> None:
     """The index of ``docs`` (id, depth and any of the fields) under ``path``: postings in buckets by term, terms, and statistics."""
     rows = written(all_postings(docs))

@@ -78,10 +78,8 @@ def _index_search(s, d):
 
 
 def _stemmed(s, d):
-    """Documents that hold a word with the stem of the query's word; stems are made once a distinct word."""
-    words = flat(s, d).select("id", F.explode(F.array_distinct(tx.index_terms(F.col("content")))).alias("term"))
-    stems = kw.vocabulary(flat(s, d), ("content",)).select("term", tx.stem("term").alias("stem")).filter(F.col("stem") == tx.porter_stem("licensing"))
-    return words.join(stems, "term").groupBy("id").agg(F.count(F.lit(1)).alias("forms"))
+    """Documents that hold a word with the stem of the query's word."""
+    return ft.word_forms(flat(s, d), "licensing")
 
 
 def _browse(s, d):

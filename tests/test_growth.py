@@ -73,3 +73,17 @@ def test_a_task_keeps_k_rows_a_query(spark, monkeypatch, at_once):
     for q_id in asked:
         want = sorted((i for i in vs if i != q_id), key=lambda i: (-score(i, q_id), i))[:4]
         assert [found[q_id, r] for r in range(1, 5)] == want
+
+
+def test_word_forms_against_brute_force(spark):
+    from corpusloom.functions import text as tx
+    from corpusloom.plans import keyword_queries as kq
+    from tests.conftest import SF
+
+    docs = spark.createDataFrame([(1, "Licensing, licensed; licensing"), (2, "licence"), (3, ""), (4, None), (5, "off-licenses LICENSE v.1")], "id long, content string")
+    assert {(r.id, r.forms) for r in ft.word_forms(docs, "licensing").collect()} == {(1, 2), (5, 2)}
+    found = kq.QUERIES["stemmed_search"](spark, SF)
+    assert "Exchange" not in plan(found)
+    rows = kq.flat(spark, SF).select("id", tx.index_terms(F.col("content")).alias("t")).collect()
+    counts = {r.id: len({t for t in r.t if tx.porter_stem(t) == "licens"}) for r in rows}
+    assert {r.id: r.forms for r in found.collect()} == {i: n for i, n in counts.items() if n}
