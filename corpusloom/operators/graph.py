@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.staging import written
+
 GENERIC_MENTIONS, ANSWER_CAP, VARIANT_CAP, RELATED_CAP, CO_MENTION_LEAST, EVIDENCE = 1000, 6, 4, 8, 2, 3
+#: Pairs that one task counts.
+PAIRS_PER_TASK = 2_000_000
 
 
 def informativeness(mentions: Column) -> Column:
@@ -59,10 +63,16 @@ def reranked(ranked: DataFrame, signal: str, weight: float = 0.5) -> DataFrame:
 def co_mentions(postings: DataFrame, least: int = CO_MENTION_LEAST) -> DataFrame:
     """(a, b, n) of entities (a < b) that at least ``least`` sections mention together.
 
-    Pairs are made within a section, whose entities are few; a section of very many would need a cap upstream.
+    Pairs are made within a section, from one list of its entities; they are counted in as many partitions as
+    hold ``PAIRS_PER_TASK`` each, so that what one task counts does not grow.
     """
-    a, b = postings.select("section", F.col("entity").alias("a")).distinct(), postings.select("section", F.col("entity").alias("b")).distinct()
-    return a.join(b, "section").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    once = postings.filter(F.col("section").isNotNull()).select("section", "entity").distinct()
+    lists = written(once.groupBy("section").agg(F.sort_array(F.collect_list("entity")).alias("e")).filter(F.size("e") > 1).select("e"))
+    many = lists.agg(F.sum(F.size("e").cast("long") * (F.size("e") - 1) / 2)).head()[0] or 0
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(many) // PAIRS_PER_TASK))
+    heads = lists.select(F.posexplode("e").alias("i", "a"), "e")
+    pairs = heads.select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
+    return pairs.repartition(parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
 def both_directions(edges: DataFrame) -> DataFrame:

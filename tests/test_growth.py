@@ -87,3 +87,11 @@ def test_word_forms_against_brute_force(spark):
     rows = kq.flat(spark, SF).select("id", tx.index_terms(F.col("content")).alias("t")).collect()
     counts = {r.id: len({t for t in r.t if tx.porter_stem(t) == "licens"}) for r in rows}
     assert {r.id: r.forms for r in found.collect()} == {i: n for i, n in counts.items() if n}
+
+
+def test_co_mentions_are_counted_in_more_parts_where_pairs_are_more(spark, monkeypatch):
+    monkeypatch.setattr(gr, "PAIRS_PER_TASK", 2)
+    rows = [(s, e, 1) for s, es in {1: [1, 2, 3], 2: [3, 2, 2], 3: [2, 1, 3, 4], 4: [9], None: [1, 2]}.items() for e in es]
+    found = gr.co_mentions(spark.createDataFrame(rows, "section long, entity long, count long"))
+    assert {(r.a, r.b, r.n) for r in found.collect()} == {(1, 2, 2), (1, 3, 2), (2, 3, 3)}
+    assert ", 5), REPARTITION_BY_NUM" in plan(found)
