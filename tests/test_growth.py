@@ -95,3 +95,16 @@ def test_co_mentions_are_counted_in_more_parts_where_pairs_are_more(spark, monke
     found = gr.co_mentions(spark.createDataFrame(rows, "section long, entity long, count long"))
     assert {(r.a, r.b, r.n) for r in found.collect()} == {(1, 2, 2), (1, 3, 2), (2, 3, 3)}
     assert ", 5), REPARTITION_BY_NUM" in plan(found)
+
+
+def test_equal_texts_are_not_matched_word_by_word(monkeypatch):
+    import difflib
+
+    from corpusloom.operators import versions as vs
+
+    for words in ([], ["a"], "a b a b a".split()):
+        want = difflib.SequenceMatcher(None, words, list(words), autojunk=False).get_opcodes()
+        with monkeypatch.context() as m:
+            m.setattr(difflib, "SequenceMatcher", None)
+            assert vs._opcodes(words, list(words)) == want
+    assert vs._opcodes(["a"], ["b"]) == [("replace", 0, 1, 0, 1)]
